@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import line_dedup, mixing, quality_rules, sharding
+from tickweave.llm import line_dedup, mixing, ngram_join, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
         "op4_quality_rules": quality_rules.query,
+        "op6_ngram_join": ngram_join.query,
         "op7_mixing": mixing.query,
         "op10_sharding": sharding.query,
     }
