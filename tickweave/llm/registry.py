@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import line_dedup, mixing, ngram_join, quality_rules, sharding
+from tickweave.llm import line_dedup, mixing, ngram_join, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules.query,
         "op6_ngram_join": ngram_join.query,
         "op7_mixing": mixing.query,
+        "op8_packing": packing.query,
         "op10_sharding": sharding.query,
     }
 
