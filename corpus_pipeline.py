@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import line_dedup, mixing, quality_rules
+from tickweave.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from tickweave.llm.common import stage, table
 
 
@@ -25,15 +25,28 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.dedup_documents(docs)
 
 
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of fixed length; the checksum stands for the ids."""
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 STAGES = [
     ("quality_rules", keep_quality),
     ("line_dedup", drop_boilerplate),
+    ("ngram_join", keep_one_copy),
     ("mixing", mix),
+    ("packing", pack),
 ]
 
 #: The stages use trained ratios and hashed n-grams, which SQL cannot express.
