@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import line_dedup, mixing, ngram_join, packing, private_data, quality_rules, sharding
+from tickweave.llm import line_dedup, mixing, ngram_join, packing, private_data, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.query,
         "op3_private_data": private_data.query,
         "op4_quality_rules": quality_rules.query,
+        "op5_toxicity": toxicity.query,
         "op6_ngram_join": ngram_join.query,
         "op7_mixing": mixing.query,
         "op8_packing": packing.query,
