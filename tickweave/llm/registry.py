@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import line_dedup, mixing, ngram_join, packing, private_data, quality_rules, sharding, toxicity
+from tickweave.llm import line_dedup, mixing, ngram_join, packing, private_data, quality_model, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_join": ngram_join.query,
         "op7_mixing": mixing.query,
         "op8_packing": packing.query,
+        "op9_quality_model": quality_model.query,
         "op10_sharding": sharding.query,
     }
 
