@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import line_dedup, mixing, ngram_join, packing, private_data, quality_model, quality_rules, sharding, toxicity
+from tickweave.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, private_data, quality_model, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
+        "op2_embedding_dedup": embedding_dedup.query,
         "op3_private_data": private_data.query,
         "op4_quality_rules": quality_rules.query,
         "op5_toxicity": toxicity.query,
