@@ -8,7 +8,10 @@ cut every ``LENGTH`` ids: only the last sequence has padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ END_ID = 2
 DIMENSIONS, BITS = 4, 10
 BUCKETS = 1024
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _random = np.random.Generator(np.random.PCG64(7))
 PROJECTION = _random.choice(np.array([-1.0, 1.0]), size=(BUCKETS, DIMENSIONS))
@@ -39,32 +42,50 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts by way of their words.
 
-    The tokenizer's model never joins two words, so a text's ids are those of
-    its words in order, and each distinct word is encoded once. Words part
-    only at the ASCII white space that the tokenizer drops; anything else
-    stays inside a word and is the tokenizer's to judge.
+    For tokenizers that drop white space and never join two words: a text's
+    ids are those of its words in order, and each distinct word is encoded
+    once. Words part only where the tokenizer always parts: at ASCII white
+    space, and between a letter and a mark of MARKS. If it lower-cases, so do
+    we first, which makes more words equal; texts that may name a special
+    token are left as they are.
     """
 
+    MARKS = re.compile(rb"([A-Za-z])([.,;:!?*%$#&])")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if not (first.get("behavior") == "Removed" and first.get("invert")):
+            raise ValueError("the tokenizer must drop white space")
+        self.lower = any(x["type"] == "Lowercase" for x in (made["normalizer"] or {}).get("normalizers", []))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.type = f"<u{array(self.code).itemsize}"
         self.known: dict[bytes, bytes] = {}
 
+    def words(self, text: str | None) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        if self.lower and b"<|" not in raw:
+            raw = raw.lower()
+        return self.MARKS.sub(rb"\1 \2", raw).split()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        split = [self.words(text) for text in texts]
+        used = set().union(*split)
+        new = list(used.difference(self.known))
         here = self.known
         if new:
-            coded = self.tokenizer.encode_batch([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-            found = {word: np.array(code.ids, dtype=self.type).tobytes() for word, code in zip(new, coded)}
+            coded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
+            found = {word: array(self.code, code.ids).tobytes() for word, code in zip(new, coded)}
             if len(self.known) + len(found) <= REMEMBERED:
                 self.known.update(found)
             else:
-                here = {word: self.known.get(word) or found[word] for word in set().union(*split)}
-        end = np.array([END_ID], dtype=self.type).tobytes()
+                here = {word: self.known[word] for word in used.intersection(self.known)} | found
+        end = array(self.code, [END_ID]).tobytes()
         return [np.frombuffer(b"".join([here[word] for word in words]) + end, dtype=self.type) for words in split]
 
 
