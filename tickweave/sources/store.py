@@ -2,8 +2,8 @@
 
 ``data/<segment>/symbol=…/year=…`` holds tall rows, sorted by column and time
 so that row groups prune; ``catalog/<version>`` holds the segments' bounds. A
-commit writes its segment, then its catalog, and publishes both by creating
-the version's marker file, which fails if another writer was faster. Readers
+commit writes its segment, claims the next version, which fails if another
+writer was faster, and publishes its catalog. Readers
 keep the version they began with. Overlapping commits are merged on read, the
 later one wins; ``compact`` rewrites a symbol into one segment.
 """
@@ -48,7 +48,8 @@ class Store:
         folder = self._path(f"{self.path}/versions")
         if not self._fs.exists(folder):
             return 0
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(folder)), default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return max((int(name) for name in names if name.isdigit()), default=0)
 
     def catalog(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
@@ -57,6 +58,7 @@ class Store:
         return self.spark.read.schema(CATALOG).parquet(f"{self.path}/catalog/{version}")
 
     def _publish(self, catalog: DataFrame, base: int) -> None:
+        """Claim the next version, which only one writer can, then put its catalog in place and show it to readers."""
         new = base + 1
         staged = f"{self.path}/catalog/{new}-{uuid.uuid4().hex}"
         catalog.coalesce(1).write.parquet(staged)
@@ -64,9 +66,15 @@ class Store:
             self._fs.create(self._path(f"{self.path}/versions/.{new}"), False).close()
         except Exception as e:
             self._fs.delete(self._path(staged), True)
-            raise Conflict(f"version {new} exists") from e
+            raise Conflict(f"version {new} is another writer's") from e
         self._fs.rename(self._path(staged), self._path(f"{self.path}/catalog/{new}"))
-        self._fs.rename(self._path(f"{self.path}/versions/.{new}"), self._path(f"{self.path}/versions/{new}"))
+        self._fs.create(self._path(f"{self.path}/versions/{new}"), False).close()
+
+    def recover(self) -> None:
+        """Drop the claim of a writer that died before it published; call it only when no writer is at work."""
+        new = self.version() + 1
+        for path in (f"versions/.{new}", f"catalog/{new}"):
+            self._fs.delete(self._path(f"{self.path}/{path}"), True)
 
     def columns(self, symbol: str) -> dict[str, str]:
         """Column name -> type of a symbol."""
