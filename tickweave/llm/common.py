@@ -53,3 +53,16 @@ def hex_fraction(key: Column, seed: str) -> Column:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
     whole = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     return (whole.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+#: Stands for a null id where pandas would turn a column with nulls into floats.
+NO_ID = -(2**63)
+
+
+def hide_null(doc_id: Column) -> Column:
+    """An id as long, NO_ID for null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def show_null(doc_id: Column) -> Column:
+    return F.nullif(doc_id, F.lit(NO_ID).cast("long"))

@@ -43,9 +43,10 @@ def boilerplate(df: DataFrame, host: str, lines: str, max_ratio: float, min_page
     entry stands on more than ``max_ratio`` of its pages, so there are at most
     1 / ``max_ratio`` times the lines of a mean page.
     """
-    seen = df.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.col(lines), lambda x: F.xxhash64(F.trim(x))))).alias("line"))
+    site = F.coalesce(F.col(host), F.lit("")).alias("host")
+    seen = df.select(site, F.explode(F.array_distinct(F.transform(F.col(lines), lambda x: F.xxhash64(F.trim(x))))).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = stage(df.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("of")), "host-pages")
+    totals = stage(df.groupBy(site).agg(F.count("*").alias("of")), "host-pages")
     over = counts.join(totals, "host").where(F.col("pages") > F.col("of") * max_ratio)
     return stage(over.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("drop")), "boilerplate")
 
@@ -56,12 +57,12 @@ def drop_lines(df: DataFrame, host: str, lines: str, max_ratio: float = 0.1, min
     A line goes if more than ``max_ratio`` of its host's pages, and at least
     ``min_pages`` of them, hold it (lines compare without surrounding spaces,
     by a 64-bit hash within one host). Blank lines stay. A page repeated in the
-    table counts each time; a null or empty host is a host of its own; null
+    table counts each time; null and empty hosts are one host; null
     ``lines`` stay null with 0 dropped. A column named ``n_dropped`` is
     replaced; other columns pass through.
     """
     listed = boilerplate(df, host, lines, max_ratio, min_pages)
-    joined = df.drop("n_dropped").alias("p").join(listed.alias("b"), F.coalesce(F.col(f"p.{host}"), F.lit("")) == F.coalesce(F.col("b.host"), F.lit("")), "left")
+    joined = df.drop("n_dropped").alias("p").join(listed.alias("b"), F.coalesce(F.col(f"p.{host}"), F.lit("")) == F.col("b.host"), "left")
     own = F.col(f"p.{lines}")
     hit = F.array_intersect(F.transform(own, lambda x: F.xxhash64(F.trim(x))), F.col("b.drop"))
     kept = F.when(F.size(hit) > 0, F.filter(own, lambda x: (F.trim(x) == "") | ~F.array_contains(hit, F.xxhash64(F.trim(x))))).otherwise(own)
@@ -83,13 +84,12 @@ def dedup_documents(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10
     Every document stays, with an empty text if all its lines were boilerplate;
     a null text stays null.
     """
-    split = docs.withColumn("__lines", F.split("text", "\n"))
-    out = drop_lines(split.select(*docs.columns, "__lines"), "source", "__lines", max_ratio, min_pages)
-    text = F.when(F.col("n_dropped") > 0, F.array_join("__lines", "\n")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = drop_lines(docs.select("source", F.split("text", "\n").alias("lines"), own), "source", "lines", max_ratio, min_pages)
+    cut = F.col("n_dropped") > 0
+    text = F.array_join("lines", "\n")
+    new = {"text": F.when(cut, text), "n_chars": F.when(cut, F.length(text).cast("long"))}
+    return out.select(*[F.coalesce(new[c], F.col("row").getField(c)).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import stage, table
+from tickweave.llm.common import hide_null, show_null, stage, table
 
 LENGTH = 4096
 END_ID = 2
@@ -144,7 +144,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 )
                 row += len(part)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "row long, doc_id long, key long, doc_tokens long, ids binary")
+    return docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, "row long, doc_id long, key long, doc_tokens long, ids binary")
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -193,11 +193,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
                     take = min(length - offset, n - at)
                     out.append((doc_id, at, take, ids[at : at + take].astype("<u4").tobytes(), n, sequence, offset))
                     at += take
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=names)
 
-    return placed.mapInPandas(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = placed.mapInPandas(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return pieces.withColumn("doc_id", show_null(F.col("doc_id")))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

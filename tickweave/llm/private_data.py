@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import stage, table
+from tickweave.llm.common import hide_null, show_null, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity in which terms are looked for.
@@ -98,7 +98,7 @@ def near_terms(text: str, start: int, end: int) -> set[str]:
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for doc_id, version, text in zip(batch["doc_id"], batch["version"], batch["text"]):
             text = text or ""
             spans = base_spans(text)
             kinds = [kind for _, _, kind in spans]
@@ -106,13 +106,12 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs |= {(entity(kind, text[start:end]), "") for start, end, kind in spans}
             base = joined(spans)
             counts = [kinds.count(kind) for kind in KINDS]
-            out.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), base, [{"entity": e, "term": t} for e, t in sorted(pairs)]))
-        frame = pd.DataFrame(out, columns=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "pairs"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
+            out.append((doc_id, version, *counts, hashlib.sha256(base.encode()).hexdigest(), base, [{"entity": e, "term": t} for e, t in sorted(pairs)]))
+        frame = pd.DataFrame(out, columns=["doc_id", "version", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "pairs"])
         yield frame
 
 
-SCANNED = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, pairs array<struct<entity:string,term:string>>"
+SCANNED = "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, pairs array<struct<entity:string,term:string>>"
 
 
 def terms_of(text: Column) -> Column:
@@ -145,7 +144,7 @@ def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds the spans of a document's disclosing terms to its base spans; a term span inside a base span is left out."""
     for batch in batches:
         out = []
-        for row, text, base, told in zip(batch["row"], batch["text"], batch["base"], batch["told"]):
+        for doc_id, version, text, base, told in zip(batch["doc_id"], batch["version"], batch["text"], batch["base"], batch["told"]):
             text = text or ""
             acts = {x["term"]: "remove" if x["share"] >= REMOVE else "generalise" for x in sorted(told, key=lambda x: x["share"])}
             spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in base.split(",") if x)]
@@ -158,8 +157,8 @@ def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if not any(e > m.start() for e in ends[max(0, at - len(KINDS)) : at]):
                         spans.append((m.start(), m.end(), act))
             order = {k: i for i, k in enumerate((*KINDS, "generalise", "remove"))}
-            out.append((row, joined(sorted(spans, key=lambda x: (x[0], order[x[2]])))))
-        yield pd.DataFrame(out, columns=["row", "marked"])
+            out.append((doc_id, version, joined(sorted(spans, key=lambda x: (x[0], order[x[2]])))))
+        yield pd.DataFrame(out, columns=["doc_id", "version", "marked"])
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
@@ -168,18 +167,19 @@ def private_spans(docs: DataFrame) -> DataFrame:
     ``spans`` lists the base spans and, in documents that hold a protected
     entity, the spans ``generalise`` and ``remove`` of terms that disclose it.
     A null text counts as empty; repeated rows each give a row and count as
-    documents; rows without doc_id give their base spans. Positions are code
-    points. Other columns are not read.
+    documents; a null doc_id stays null. Positions are code points. Other
+    columns are not read.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    row = ["doc_id", "version"]
     scanned = stage(own.mapInPandas(scan, SCANNED), "private-spans")
     told = stage(disclosing_terms(scanned, own), "disclosing")
-    held = scanned.where("size(pairs) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("row"), "base", F.explode("pairs").alias("p")).where("p.term = ''")
-    hit = held.join(told, F.col("p.entity") == told["entity"]).groupBy("row", "base").agg(F.collect_set(F.struct("term", "share")).alias("told"))
-    texts = own.join(stage(hit, "hits"), own["doc_id"] == F.col("row")).select("row", "text", "base", "told")
-    marked = texts.mapInPandas(mark, "row long, marked string").distinct()
-    out = scanned.join(marked.groupBy("row").agg(F.first("marked").alias("marked")), scanned["doc_id"] == F.col("row"), "left")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("marked", "base").alias("spans"))
+    held = scanned.select(*row, "base", F.explode("pairs").alias("p")).where("p.term = ''")
+    hit = held.join(told, F.col("p.entity") == told["entity"]).groupBy(*row, "base").agg(F.collect_set(F.struct("term", "share")).alias("told"))
+    texts = own.join(stage(hit, "hits"), row).dropDuplicates(row).select(*row, "text", "base", "told")
+    marked = stage(texts.mapInPandas(mark, "doc_id long, version long, marked string"), "marked")
+    out = scanned.join(marked, row, "left")
+    return out.select(show_null(F.col("doc_id")).alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("marked", "base").alias("spans"))
 
 
 def sanitise(text: str, spans: str) -> str:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import stage, table
+from tickweave.llm.common import hide_null, show_null, stage, table
 from tickweave.llm.training import Adam, held_out, sigmoid, training_labels
 
 FOLDS, FOLD = 4, 2
@@ -139,10 +139,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     0 if there are none. Repeated rows each get their score; other columns are
     not read.
     """
-    fold = held_out(F.col("doc_id"), FOLDS, FOLD)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id = show_null(F.col("doc_id"))
+    fold = held_out(doc_id, FOLDS, FOLD).alias("held_out")
+    own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text")
     chosen = stage(training_labels(labels, "quality", FOLDS, FOLD, TRAIN_ROWS), "quality-labels")
-    rate = labels.where(~fold).agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    rate = labels.where(~held_out(F.col("doc_id"), FOLDS, FOLD)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,7 +155,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fit = stage(known.mapInPandas(sample, "doc_id long, y int, bag binary"), "quality-sample").orderBy("doc_id").toPandas()
     y = fit["y"].to_numpy(dtype=float)
     if not 0 < y.sum() < len(y):
-        return own.select("doc_id", fold.alias("held_out"), F.lit(float(rate or 0.0)).alias("score"), F.lit(int((rate or 0.0) >= 0.7)).alias("predicted"))
+        return own.select(doc_id.alias("doc_id"), fold, F.lit(float(rate or 0.0)).alias("score"), F.lit(int((rate or 0.0) >= 0.7)).alias("predicted"))
     bags = [np.frombuffer(bag, dtype=np.float32).reshape(-1, WIDTH) for bag in fit["bag"]]
     # the sample's classes weigh what they do among all labels
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
@@ -165,10 +166,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for begin in range(0, len(batch), 256):
                 part = batch.iloc[begin : begin + 256]
                 scores = model.value.score([encode(text) for text in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": scores})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "score": scores})
 
     scored = own.mapInPandas(score, "doc_id long, score double")
-    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select(doc_id.alias("doc_id"), fold, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import stage, table
+from tickweave.llm.common import hide_null, show_null, stage, table
 from tickweave.llm.training import fit_logistic, held_out, sigmoid, training_labels
 
 FOLDS, FOLD = 3, 1
@@ -200,13 +200,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text without any term; without labels of both classes every score is 0.
     Repeated rows each get their score; other columns are not read.
     """
-    fold = held_out(F.col("doc_id"), FOLDS, FOLD)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id = show_null(F.col("doc_id"))
+    fold = held_out(doc_id, FOLDS, FOLD).alias("held_out")
+    own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text")
     chosen = stage(training_labels(labels, "toxic", FOLDS, FOLD, TRAIN_ROWS), "toxic-labels")
     known = F.broadcast(chosen)  # at most 2 TRAIN_ROWS rows
     terms = mine_terms(own.join(known, "doc_id").select("text", "y"))
     if terms.empty:
-        return own.select("doc_id", fold.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return own.select(doc_id.alias("doc_id"), fold, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     make = own.sparkSession.sparkContext.broadcast(Featurizer(terms))
     n = make.value.n_votes
 
@@ -214,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             got = [make.value(text) for text in batch["text"]]
             out = pd.DataFrame(got, columns=["votes", "hits", "measures"])
-            yield out.assign(doc_id=batch["doc_id"].astype("Int64"))
+            yield out.assign(doc_id=batch["doc_id"])
 
     features = stage(own.mapInPandas(featurize, "doc_id long, votes long, hits array<int>, measures array<double>"), "toxic-features")
     rate = labels.where(~held_out(F.col("doc_id"), FOLDS, FOLD)).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1
@@ -235,10 +236,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         sparse, dense, bias = model.value
         for batch in batches:
             logit = [sparse[np.asarray(h, dtype=np.int64)].sum() + np.dot(m, dense) + bias for h, m in zip(batch["hits"], batch["measures"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": sigmoid(np.array(logit, dtype=float))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": sigmoid(np.array(logit, dtype=float))})
 
     scored = features.select("doc_id", "hits", "measures").mapInPandas(score, "doc_id long, score double")
-    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select(doc_id.alias("doc_id"), fold, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
