@@ -16,8 +16,7 @@ from tickweave.llm.common import stage, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), keep_columns=True)
-    return judged.where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
