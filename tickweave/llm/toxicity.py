@@ -50,9 +50,10 @@ def terms_in(words: set[str]) -> set[str]:
     return found
 
 
-def least_hash(words: set[str]) -> int:
-    """MinHash of a word set: near copies mostly share it."""
-    return min(map(xxhash.xxh3_64_intdigest, words), default=0) - (1 << 63)
+def least_hash(words: list[str]) -> int:
+    """MinHash of a text's word triples: near copies mostly share it, others hardly ever."""
+    triples = map(" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [" ".join(words)]
+    return min(map(xxhash.xxh3_64_intdigest, triples)) - (1 << 63)
 
 
 def mine_terms(sample: DataFrame) -> pd.DataFrame:
@@ -64,8 +65,8 @@ def mine_terms(sample: DataFrame) -> pd.DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [set(words_of(text)) for text in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "copy": [least_hash(s) for s in sets], "words": [sorted(s) for s in sets]})
+            found = [words_of(text) for text in batch["text"]]
+            yield pd.DataFrame({"y": batch["y"], "copy": [least_hash(w) for w in found], "words": [sorted(set(w)) for w in found]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = (Counter(), Counter())
