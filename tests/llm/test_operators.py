@@ -1,0 +1,495 @@
+"""The numbered operators against brute force on small fixtures, with their defined edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tickweave.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, private_data, quality_model, quality_rules, sharding, toxicity
+from tickweave.llm.components import components
+from tickweave.llm.training import held_out
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def make_docs(spark, texts, extra=""):
+    rows = [(i, t, "en", None if i % 7 == 6 else f"s{i % 3}", len(t) if t is not None else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.selectExpr("*", *([extra] if extra else []))
+
+
+def words(draw, n, vocabulary=200):
+    return " ".join(f"w{draw.randrange(vocabulary)}" for _ in range(n))
+
+
+def varied_texts(seed=1, n=60):
+    """Copies, near copies, chains of them, short, long, empty and null texts."""
+    draw = random.Random(seed)
+    texts = [None, "", " \n\t ", "one", "one two three", "one two three", "a b c d e"]
+    base = [words(draw, 80, 5000) for _ in range(8)]
+    for text in base:
+        texts += [text, text]
+        tokens = text.split()
+        for _ in range(4):
+            tokens = tokens.copy()
+            tokens[draw.randrange(len(tokens))] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(tokens))
+    texts += [words(draw, draw.randrange(1, 60), 3000) for _ in range(n)]
+    texts.append(words(draw, 30000, 4000))
+    return texts
+
+
+def groups_of(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# components
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_components(spark, shape):
+    draw = random.Random(3)
+    links = {"path": [(i, i + 1) for i in range(150)], "star": [(77, i) for i in range(150)], "random": [(draw.randrange(200), draw.randrange(200)) for _ in range(120)], "none": []}[shape]
+    expected = groups_of(201, links)
+    got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    ends = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: expected[x] for x in ends}
+
+
+# 1 line dedup
+
+
+def test_line_dedup_pages(spark):
+    page = "<html><head><title>t{0}</title><script>a<b</script></head><body><nav><a href='/'>Home</a></nav><p>own <b>text</b> {0}<br>second {0}</p><footer>(c) site</footer></body></html>"
+    rows = [(i, f"https://Big.example.com/{i}", page.format(i)) for i in range(40)]
+    rows += [(100, "http://small.example.com/", page.format("x")), (101, None, page.format("y")), (102, "http://small.example.com/2", None), (103, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_dropped", F.lit("clash"))
+    out = {r["page_id"]: r for r in line_dedup.dedup_pages(pages).collect()}
+    assert len(out) == len(rows)
+    assert out[3]["text"] == "t3\nown text 3\nsecond 3" and out[3]["n_dropped"] == 2 and out[3]["host"] == "big.example.com"
+    assert out[100]["n_dropped"] == 0 and "Home" in out[100]["text"]
+    assert out[101]["host"] == "" and out[102]["text"] == "" and out[103]["n_lines"] == 0
+    assert line_dedup.dedup_pages(pages.limit(0)).count() == 0
+
+
+def test_line_dedup_documents_keeps_columns(spark):
+    texts = [f"common line\nown {i}\n\nown too {i}" for i in range(60)] + ["common line", None, ""]
+    docs = make_docs(spark, texts, "1 AS n_dropped").withColumn("source", F.lit("s"))
+    out = line_dedup.dedup_documents(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[5]["text"] == "own 5\n\nown too 5" and got[5]["n_chars"] == len(got[5]["text"])
+    assert got[60]["text"] == "" and got[60]["n_chars"] == 0 and got[61]["text"] is None and got[62]["text"] == ""
+    assert all(r["n_dropped"] == 1 for r in got.values())
+    assert line_dedup.dedup_documents(docs.limit(0)).count() == 0
+
+
+# 2 embedding dedup
+
+
+def brute_cosine(rows):
+    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)}
+    ids = sorted(vectors)
+    return [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(vectors[a]) == len(vectors[b]) and vectors[a] @ vectors[b] / np.sqrt((vectors[a] @ vectors[a]) * (vectors[b] @ vectors[b])) >= 0.95]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_embedding_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    draw = np.random.default_rng(5)
+    rows = []
+    for group in range(12):
+        center = draw.normal(size=64)
+        for _ in range(6):
+            rows.append((len(rows), [float(np.float32(x)) for x in center + draw.normal(size=64) * 0.18]))
+        rows.append((len(rows), rows[-1][1]))
+    rows += [(len(rows) + k, v) for k, v in enumerate([None, [0.0] * 64, [float("nan")] * 64, [1.0] * 63 + [None], [float("inf")] + [0.0] * 63, [1.0, 2.0], [2.0, 4.0], [], [1e-30] * 64, [1e30] * 64])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("copies", F.lit(1)).withColumn("label", F.lit(0))
+    out = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df).collect()}
+    links = brute_cosine(rows)
+    counts = Counter(x for pair in links for x in pair)
+    group = groups_of(len(rows), links)
+    assert len(links) > 30
+    for i, _ in rows:
+        assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (counts[i], group[i], group[i] == i), i
+    extra = embedding_dedup.embedding_dedup(spark.createDataFrame([(None, [1.0]), (1, [1.0]), (1, [1.0])], "vec_id long, embedding array<float>")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in extra) == [("1", 1, True), ("1", 1, True), ("None", 0, True)]
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_estimates_are_unbiased_and_bounded():
+    draw = np.random.default_rng(2)
+    a = draw.normal(size=(3000, 64))
+    units = embedding_dedup.unit(a)
+    noise = embedding_dedup.unit(draw.normal(size=(3000, 64)))
+    noise = embedding_dedup.unit(noise - (noise * units).sum(axis=1, keepdims=True) * units)
+    other = 0.96 * units + np.sqrt(1 - 0.96**2) * noise
+    signs, own = embedding_dedup.codes(units)
+    rotated = other @ embedding_dedup.rotations(64)[0]
+    guess = (signs * rotated).sum(axis=1) / own
+    _, slack = embedding_dedup.estimates(signs[:10], own[:10], rotated[:10])
+    assert abs(guess.mean() - 0.96) < 0.003
+    assert (guess + slack.min() >= 0.95).all()
+
+
+def test_tables_meet_links_often_enough():
+    draw = np.random.default_rng(4)
+    a = embedding_dedup.unit(draw.normal(size=(2000, 64)))
+    noise = draw.normal(size=(2000, 64))
+    noise = embedding_dedup.unit(noise - (noise * a).sum(axis=1, keepdims=True) * a)
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * noise
+    assert (embedding_dedup.buckets(a) == embedding_dedup.buckets(b)).any(axis=1).mean() > 0.995
+
+
+# 3 personal data
+
+EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def brute_spans(text):
+    found = [(m.start(), m.end(), 0) for m in re.finditer(EMAIL, text)]
+    found += [(m.start(), m.end(), 1) for m in re.finditer(IP, text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(CARD, text):
+        digits = re.sub("[ -]", "", m[0])
+        if 14 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0:
+            found.append((m.start(), m.end(), 2))
+    found += [(m.start(), m.end(), 3) for m in re.finditer(PHONE, text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{private_data.KINDS[k]}:{a}:{b}" for a, b, k in sorted(found, key=lambda x: (x[0], x[2])))
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a@.-1 +9()0Z%é\n4_", max_size=60))
+def test_base_spans(text):
+    assert private_data.joined(private_data.base_spans(text)) == brute_spans(text)
+
+
+def test_private_spans(spark):
+    card = "4539 1488 0343 6467"
+    texts = [f"filler number {k} common words here and there item{k}" for k in range(40)]
+    texts += [f"the quixotic zanzibar report names {card} again {k} with common words" for k in range(3)]
+    texts += [None, "", "call +1 (555) 123-4567 or ann@example.com or 10.0.0.1 now", "9" * 50000 + " " + "a" * 50000 + "@"]
+    docs = make_docs(spark, texts, "'x' AS base").unionByName(make_docs(spark, texts, "'x' AS base").where("doc_id = 45"))
+    rows = private_data.private_spans(docs).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        base = brute_spans(text)
+        assert hashlib.sha256(base.encode()).hexdigest() == r["base_sha256"]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [base.count(f"{k}:") for k in private_data.KINDS]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in private_data.KINDS] == [s for s in base.split(",") if s]
+    marked = {r["doc_id"]: r["spans"] for r in rows}
+    terms = {texts[40][int(a) : int(b)] for k, a, b in (s.split(":") for s in marked[40].split(",")) if k == "remove"}
+    assert {"zanzibar", "names"} <= terms and not {"common", "words"} & terms
+    assert private_data.sanitise(texts[40], marked[40]).count("[card]") == 1 and "zanzibar" not in private_data.sanitise(texts[40], marked[40])
+    assert private_data.private_spans(docs.limit(0)).count() == 0
+
+
+def test_shares_match_brute_force(spark):
+    draw = random.Random(8)
+    texts = [words(draw, 12, 30).replace("w1", "walpha") + (f" ip 10.0.0.{k % 5} end" if k % 3 == 0 else "") for k in range(60)]
+    docs = make_docs(spark, texts)
+    scanned = docs.select("doc_id", F.lit(0).cast("long").alias("version"), "text").mapInPandas(private_data.scan, private_data.SCANNED)
+    got = {(r["entity"], r["term"]): r["share"] for r in private_data.disclosing_terms(scanned, docs).collect()}
+    n = len(texts)
+    entities, terms, both = Counter(), Counter(), Counter()
+    for text in texts:
+        terms.update({t.lower() for t in private_data.TERM.findall(text)})
+        near = set()
+        for start, end, kind in private_data.base_spans(text):
+            e = private_data.entity(kind, text[start:end])
+            near |= {(e, t) for t in private_data.near_terms(text, start, end)}
+            entities[e] += 1
+        both.update(near)
+    expected = {}
+    for (e, t), b in both.items():
+        share = np.log2(n * b / (terms[t] * entities[e])) / np.log2(n / entities[e])
+        if b >= private_data.SUPPORT and share >= private_data.GENERALISE:
+            expected[e, t] = share
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+# 4 quality rules
+
+
+def brute_base(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    inside = {i + d for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for d in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab #|\n\t\x0b\x1c\x85é", max_size=80))
+def test_base_counts(text):
+    assert quality_rules.base_counts(text, quality_rules.split_words(text)) == brute_base(text)
+
+
+def test_quality_rules(spark):
+    draw = random.Random(6)
+    good = [words(draw, 120, 300) for _ in range(120)]
+    bad = [" ".join(w + draw.choice(["###", "$$$"]) for w in words(draw, 120, 300).split()) for _ in range(20)]
+    texts = [*good, *bad, None, "", "short", "same " * 80]
+    docs = make_docs(spark, texts, "true AS kept")
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(0, 140, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    for i, text in enumerate(texts):
+        r = rows[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_base(text)
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (i < 120)
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(120))
+    none = spark.createDataFrame([], labels.schema)
+    assert all(r["score"] == 0 for r in quality_rules.quality_rules(docs, none).collect())
+    assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
+    counts = quality_rules.fit_counts(docs, labels)
+    brute = np.zeros((2, quality_rules.BUCKETS))
+    for i, text in enumerate(texts):
+        for b in quality_rules.ngram_buckets(quality_rules.split_words(text or "")):
+            brute[0, b] += 1
+            brute[1, b] += i < 120 and i % 2 == 0
+    assert (counts == brute).all()
+
+
+# 5 and 9 classifiers
+
+
+def classifier_corpus(spark):
+    draw = random.Random(11)
+    texts, labels = [], []
+    for i in range(900):
+        toxic, junk = i % 5 == 0, i % 7 == 0
+        tokens = words(draw, draw.randrange(20, 200), 400).replace("w", "word").split()
+        tokens = [t.translate(str.maketrans("0123456789", "abcdefghij")) for t in tokens]
+        if toxic:
+            for _ in range(draw.randrange(1, 5)):
+                tokens.insert(draw.randrange(len(tokens)), draw.choice(["vileword", "nastyword", "rudeness", "scoundrels"]))
+        if junk:
+            tokens = [t + "%%%" for t in tokens]
+        texts.append(" ".join(tokens))
+        labels.append((i, int(not junk), int(toxic)))
+    texts += [None, "", "   "]
+    return make_docs(spark, texts, "0.5 AS score"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
+
+
+@pytest.mark.parametrize("which", ["toxic", "quality"])
+def test_classifiers_on_held_out_rows(spark, which):
+    docs, labels, truth = classifier_corpus(spark)
+    apply, folds, fold, column = (toxicity.toxicity, 3, 1, 2) if which == "toxic" else (quality_model.classify, 4, 2, 1)
+    rows = {r["doc_id"]: r for r in apply(docs, labels).collect()}
+    assert len(rows) == docs.count()
+    held = [r for r in rows.values() if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % folds == fold}
+    right = [r["predicted"] == truth[r["doc_id"]][column] for r in held if r["doc_id"] < 900]
+    assert sum(right) / len(right) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows.values())
+    # labels of the held-out fold change nothing
+    flipped = labels.withColumn(which, F.when(held_out(F.col("doc_id"), folds, fold), 1 - F.col(which)).otherwise(F.col(which)))
+    again = {r["doc_id"]: r["score"] for r in apply(docs, flipped).collect()}
+    assert all(abs(again[i] - rows[i]["score"]) < 1e-9 for i in rows)
+    assert apply(docs, labels.limit(0)).where("predicted = 1").isEmpty()
+    assert apply(docs.limit(0), labels).count() == 0
+
+
+def test_attention_gradients():
+    draw = np.random.default_rng(1)
+    bags, y = [draw.normal(size=(n, 6)) for n in (1, 3, 4)], np.array([1.0, 0.0, 1.0])
+    model = quality_model.AttentionModel(6, 3)
+    begin = np.array([0, 1, 4])
+    x = np.concatenate(bags)
+    model.params[3][:] = draw.normal(size=6)
+
+    def loss():
+        p = quality_model.sigmoid(model.forward(x, begin)[-1])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    v, u, w, c, b = model.params
+    bag, h, g, attention, pooled, logit = model.forward(x, begin)
+    error = (quality_model.sigmoid(logit) - y) / 3
+    energy = error[bag] * attention * (x @ c - (pooled @ c)[bag])
+    gate = energy[:, None] * w
+    grads = [x.T @ (gate * g * (1 - h * h)), x.T @ (gate * h * g * (1 - g)), (h * g).T @ energy, pooled.T @ error, np.array([error.sum()])]
+    for param, grad in zip(model.params, grads):
+        for at in np.ndindex(param.shape):
+            keep = param[at]
+            param[at] = keep + 1e-6
+            up = loss()
+            param[at] = keep - 1e-6
+            down = loss()
+            param[at] = keep
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-6
+
+
+# 6 n-gram join
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_ngram_join(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    texts = varied_texts()
+    docs = make_docs(spark, texts, "1 AS copies")
+    out = {r["doc_id"]: r for r in ngram_join.ngram_join(docs).collect()}
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    counts, group = Counter(x for pair in links for x in pair), groups_of(len(sets), links)
+    assert len(links) > 50
+    for i in range(len(texts)):
+        assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (counts[i], group[i], group[i] == i), i
+    kept = ngram_join.keep_one(docs.unionByName(docs.where("doc_id = 3")))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert ngram_join.ngram_join(unnamed).where("kept AND n_links = 0 AND component_id IS NULL").count() == len(texts)
+    assert ngram_join.keep_one(unnamed).count() == len(texts)
+    assert ngram_join.ngram_join(docs.limit(0)).count() == 0
+
+
+def test_bands_reach_the_target_recall():
+    draw = random.Random(2)
+    met = 0
+    for _ in range(400):
+        common = {draw.getrandbits(64) for _ in range(80)}
+        a = np.array(sorted(common | {draw.getrandbits(64) for _ in range(10)}), dtype=np.uint64)
+        b = np.array(sorted(common | {draw.getrandbits(64) for _ in range(10)}), dtype=np.uint64)
+        met += (ngram_join.band_hashes(a) == ngram_join.band_hashes(b)).any()
+    assert met >= 398
+
+
+# 7 mixing
+
+
+def reshared(sizes):
+    """Targets by rounds of resharing, in exact arithmetic."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while len(fixed) < len(names):
+        free = [s for s in names if s not in fixed]
+        level = Fraction(total - sum(fixed.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * level > 3 * sizes[s]]
+        if not over:
+            return fixed | {s: weight[s] * level for s in free}
+        fixed |= {s: Fraction(3 * sizes[s]) for s in over}
+    return fixed
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    draw = random.Random(seed)
+    sizes = {f"s{k}": draw.choice([0, 5, 100, 1000, 50000]) for k in range(12)} | {None: 300}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert all(abs(got[s] - float(t)) < 1e-6 * max(1, t) for s, t in reshared(sizes).items())
+
+
+def test_mixing(spark):
+    draw = random.Random(9)
+    texts = [words(draw, draw.choice([3, 20, 80, 400])) for _ in range(900)] + [None, "", " "]
+    docs = make_docs(spark, texts, "7 AS taken").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") < 450, "b").otherwise(F.col("source")))
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    rows = mixing.mix_sizes(sized).collect()
+    assert len(rows) == len(texts) and sorted(rows) == sorted(mixing.mix_sizes(sized.repartition(7)).collect())
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 400
+        assert own[0]["source_size"] == sum(r["size"] for r in own)
+    assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in rows)
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+# 8 packing
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = [*varied_texts(), "It's <|endoftext|> and A<|STARTOFTEXT|>b", "x\x1cy\x85z é é DON'T a.b...c"]
+    docs = make_docs(spark, texts, "'x' AS ids").unionByName(make_docs(spark, [None], "'x' AS ids").withColumn("doc_id", F.lit(None).cast("long")))
+    pieces = packing.pack(docs)
+    rows = sorted(pieces.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    whole = {}
+    for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["start"])):
+        have = whole.setdefault(r["doc_id"], [])
+        assert len(have) == r["start"]
+        have += np.frombuffer(r["ids"], dtype="<u4").tolist()
+    assert whole.pop(None) == [2]
+    for i, text in enumerate(texts):
+        assert whole[i] == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], i
+    fill = Counter()
+    for r in rows:
+        assert r["offset"] == fill[r["sequence_id"]] and len(r["ids"]) == 4 * r["length"]
+        fill[r["sequence_id"]] += r["length"]
+    assert all(fill[s] == packing.LENGTH for s in range(max(fill)))
+    joined = {r["sequence_id"]: r["ids"] for r in packing.sequences(pieces).collect()}
+    assert all(b"".join(r["ids"] for r in rows if r["sequence_id"] == s) == joined[s] for s in joined)
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_hilbert_curve_visits_neighbours():
+    points = np.array(np.meshgrid(*[range(8)] * 3)).reshape(3, -1).T
+    keys = packing.hilbert_keys(points, 3)
+    assert sorted(keys) == list(range(512))
+    assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+# 10 sharding
+
+
+def test_lookup_table():
+    shards = [f"n{k}" for k in range(10)]
+    size = sharding.table_size(10)
+    table = sharding.fill_table(shards, size)
+    counts = Counter(table)
+    assert len(table) == size and max(counts.values()) - min(counts.values()) <= 1
+    # turn by turn, as the definition says
+    orders = [[(first + k * step) % size for k in range(size)] for first, step in (sharding.preference(s, size) for s in shards)]
+    brute, turn = {}, 0
+    while len(brute) < size:
+        order = orders[turn % 10]
+        brute[next(slot for slot in order if slot not in brute)] = turn % 10
+        turn += 1
+    assert table == [brute[s] for s in range(size)]
+    fewer = sharding.fill_table(shards[:-1], size)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 9)
+    assert moved < 0.1 * size
+    with pytest.raises(ValueError):
+        sharding.fill_table(["a", "a"], 7)
+
+
+def test_place(spark, tmp_path):
+    docs = make_docs(spark, ["a"] * 500 + [None], "'x' AS shard").unionByName(make_docs(spark, ["a"], "'x' AS shard").withColumn("doc_id", F.lit(None).cast("long")))
+    out = sharding.place(docs, "doc_id", ["a", "b", "c"])
+    rows = out.collect()
+    assert len(rows) == 502 and {r["shard"] for r in rows} == {"a", "b", "c"}
+    assert sharding.place(docs.limit(0), "doc_id", ["a"]).count() == 0
+    sharding.write_shards(out, str(tmp_path / "out"), 2, "doc_id")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 502
