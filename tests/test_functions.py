@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,10 +26,16 @@ def test_least_values_take_the_longest(spark):
 
 
 def test_ticks(spark):
-    df = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5, 678901),), (datetime(1, 1, 1),)], "ts timestamp_ntz")
-    back = df.select("ts", time.to_ticks(F.col("ts")).alias("t")).select("*", time.from_ticks(F.col("t")).alias("b")).collect()
-    assert [r["t"] for r in back] == [638397614456789010, 0]
-    assert all(r["b"] == r["ts"] for r in back)
+    df = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5, 678901),), (datetime(1, 1, 1),), (datetime(9000, 12, 31, 23, 59, 59, 999999),), (datetime(2024, 3, 31, 2, 30),)], "ts timestamp_ntz")
+    for zone in ("UTC", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            back = df.select("ts", time.to_ticks(F.col("ts")).alias("t"), time.bucket(F.col("ts")).alias("d")).select("*", time.from_ticks(F.col("t")).alias("b")).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert [r["t"] for r in back][:2] == [638397614456789010, 0]
+        assert all(r["t"] == (r["ts"] - datetime(1, 1, 1)) // timedelta(microseconds=1) * 10 for r in back)
+        assert all(r["b"] == r["ts"] and r["d"] == (r["ts"] - datetime(1970, 1, 1)).days for r in back)
 
 
 def test_parse_time(spark):

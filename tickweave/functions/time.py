@@ -23,10 +23,22 @@ TIMESTAMP_FORMATS = (
 MIN_TIME, MAX_TIME = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
 
+def instant(value: datetime | str) -> Column:
+    """A literal without time zone; through text, as a datetime literal would take the session's zone."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
-    epoch = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
+    """Microseconds since 1970 of a timestamp without time zone, from its fields, so the session's zone takes no part."""
+    ts = ts.cast("timestamp_ntz")
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return days * UNITS["day"] + F.hour(ts).cast("long") * UNITS["hour"] + F.minute(ts).cast("long") * UNITS["minute"] + second
+
+
+def whole_division(value: Column, by: int) -> Column:
+    """Quotient rounded down, in whole numbers."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
 
 
 #: Microseconds of the units that series are cut into.
@@ -35,12 +47,12 @@ UNITS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 
 def bucket(ts: Column, unit: str = "day") -> Column:
     """Number of the unit since 1970 that holds ``ts``; no time zone takes part."""
-    return F.floor(micros(ts) / F.lit(UNITS[unit])).cast("long")
+    return whole_division(micros(ts), UNITS[unit])
 
 
 def bucket_start(ts: Column, unit: str = "day") -> Column:
     """First instant of the unit that holds ``ts``."""
-    return F.timestamp_add("MICROSECOND", bucket(ts, unit) * UNITS[unit], F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", bucket(ts, unit) * UNITS[unit], instant("1970-01-01"))
 
 
 def to_ticks(ts: Column) -> Column:
@@ -49,8 +61,8 @@ def to_ticks(ts: Column) -> Column:
 
 def from_ticks(ticks: Column) -> Column:
     """Timestamp of ticks; the 100 ns below a microsecond are cut."""
-    us = F.floor((ticks - F.lit(EPOCH_TICKS)) / 10).cast("long")
-    return F.timestamp_add("MICROSECOND", us, F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"))
+    us = whole_division(ticks - F.lit(EPOCH_TICKS), 10)
+    return F.timestamp_add("MICROSECOND", us, instant("1970-01-01"))
 
 
 def parse_time(text: Column) -> Column:

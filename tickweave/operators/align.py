@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickweave.functions.time import micros
 from tickweave.operators.carry import BUCKET, bucket_of
 
 
@@ -85,8 +86,11 @@ def cursor_time(stamps: list[str]) -> Column:
 
 def asof_forward(ticks: DataFrame, probes: DataFrame, keys: list[str], ts: str, values: list[str], ties: list[str]) -> DataFrame:
     """Extension: each value's first observation at or after the probe's time."""
-    back = "__back"
-    flip = lambda df: df.withColumn(back, F.timestamp_add("MICROSECOND", -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)), F.lit("1970-01-01").cast("timestamp_ntz")))
+    back, epoch = "__back", F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def flip(df: DataFrame) -> DataFrame:
+        return df.withColumn(back, F.timestamp_add("MICROSECOND", -micros(F.col(ts)), epoch))
+
     turned = flip(ticks).withColumns({t: -F.col(t).cast("long") for t in ties})
     return asof(turned, flip(probes), keys, back, values, ties).drop(back)
 

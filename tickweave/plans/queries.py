@@ -96,7 +96,7 @@ def asof_forward_orders(spark, d):
 @query(f"SELECT p.o_orderkey, p.symbol, p.ts, CASE WHEN p.ts - e.ts <= INTERVAL 10 MINUTE THEN e.value END AS value FROM {PROBES} p ASOF LEFT JOIN {E} e ON p.symbol = e.symbol AND p.ts >= e.ts")
 def asof_tolerance(spark, d):
     out = align.asof(events(spark, d), _order_probes(spark, d), ["symbol"], "ts", ["value"], ["seq"], stamps=True)
-    fresh = F.timestamp_diff("MICROSECOND", F.col("value__ts"), F.col("ts")) <= 600 * 1_000_000
+    fresh = time.micros(F.col("ts")) - time.micros(F.col("value__ts")) <= 600 * 1_000_000
     return out.select("o_orderkey", "symbol", "ts", F.when(fresh, F.col("value")).alias("value"))
 
 

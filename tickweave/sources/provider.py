@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickweave.functions.time import instant
 from tickweave.operators import segments
 
 Provider = Callable[[str, datetime, datetime], "DataFrame | None"]
@@ -15,7 +16,7 @@ Provider = Callable[[str, datetime, datetime], "DataFrame | None"]
 
 def missing(store, symbol: str, column: str, start: datetime, end: datetime, resolution: str = "1 microsecond") -> list[tuple[datetime, datetime]]:
     """Sub-ranges of [start, end] that no segment of the column covers; segments of one column and range are few."""
-    low, high = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    low, high = instant(start), instant(end)
     known = store.catalog().where((F.col("symbol") == symbol) & (F.col("column") == column))
     if known.isEmpty():
         return [(start, end)]

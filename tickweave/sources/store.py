@@ -1,6 +1,6 @@
 """A series store on Parquet: immutable segments under a versioned catalog.
 
-``data/<segment>/symbol=…/year=…`` holds tall rows, sorted by column and time
+``data/segment_id=…/symbol=…/year=…`` holds tall rows, sorted by column and time
 so that row groups prune; ``catalog/<version>`` holds the segments' bounds. A
 commit writes its segment, claims the next version, which fails if another
 writer was faster, and publishes its catalog. Readers
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickweave.functions.time import instant
 from tickweave.functions.types import FIELD_TYPES, VALUE_COLUMNS, with_default
 from tickweave.operators import align, merge, model, segments
 
@@ -30,10 +31,6 @@ class Conflict(RuntimeError):
     """Another writer has published the version that this one was about to."""
 
 
-def _time(value: datetime | str) -> F.Column:
-    return F.lit(value).cast("timestamp_ntz")
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -83,19 +80,15 @@ class Store:
     # writes
 
     def _write(self, tall: DataFrame, segment: str) -> DataFrame:
-        where = f"{self.path}/data/{segment}"
         rows = tall.withColumn("year", F.year("ts"))
-        rows.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "column", "ts", "seq").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("symbol", "year").parquet(where)
+        dealt = rows.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "column", "ts", "seq")
+        dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("symbol", "year").parquet(f"{self.path}/data/segment_id={segment}")
         return self._read([segment])
 
     def _read(self, names: Sequence[str]) -> DataFrame:
-        paths = [f"{self.path}/data/{name}" for name in names]
-        schema = T.StructType.fromDDL(model.TALL_SCHEMA + ", year int")
-        read = [self.spark.read.schema(schema).parquet(p).withColumn("segment_id", F.lit(n)) for p, n in zip(paths, names)]
-        out = read[0]
-        for df in read[1:]:
-            out = out.unionByName(df)
-        return out
+        """One scan of the named segments; segment, symbol and year are partitions."""
+        schema = T.StructType.fromDDL(model.TALL_SCHEMA + ", segment_id string, year int")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/segment_id={name}" for name in names])
 
     def _entries(self, rows: DataFrame, segment: str, commit: int) -> DataFrame:
         kind = F.coalesce(*[F.when(F.col(t.column).isNotNull(), F.lit(t.name)) for t in FIELD_TYPES.values()])
@@ -113,7 +106,7 @@ class Store:
         wrong = new.join(stored, ["symbol", "column"]).where("type <> stored").limit(5).collect()
         mixed = new.groupBy("symbol", "column").count().where("count > 1").limit(5).collect()
         if wrong or mixed:
-            self._fs.delete(self._path(f"{self.path}/data/{segment}"), True)
+            self._fs.delete(self._path(f"{self.path}/data/segment_id={segment}"), True)
             raise TypeError(f"types differ from the stored ones: {wrong or mixed}")
         if not new.isEmpty():
             self._publish(known.unionByName(new), base)
@@ -150,7 +143,7 @@ class Store:
         """Delete rows with start <= ts <= end; only segments that overlap the range are rewritten."""
         base = self.version()
         known = self.catalog(base)
-        hit = segments.search(model.project(known.where(F.col("symbol") == symbol), columns), _time(start), _time(end))
+        hit = segments.search(model.project(known.where(F.col("symbol") == symbol), columns), instant(start), instant(end))
         keys = ["symbol", "column", "segment_id"]
         hit = hit.select(*keys, "commit")
         touched = hit.collect()  # catalog rows of one symbol and range
@@ -160,7 +153,7 @@ class Store:
         for segment, commit in sorted({(r["segment_id"], r["commit"]) for r in touched}):
             names = [r["column"] for r in touched if r["segment_id"] == segment]
             rows = self._read([segment]).where((F.col("symbol") == symbol) & F.col("column").isin(*names))
-            kept = merge.delete_range(rows, _time(start), _time(end))
+            kept = merge.delete_range(rows, instant(start), instant(end))
             if not kept.isEmpty():
                 new = uuid.uuid4().hex
                 written = self._write(kept.select(*model.TALL), new)
@@ -191,16 +184,16 @@ class Store:
         if columns is not None and isinstance(symbol, str):
             model.project(known, columns, list(self.columns(symbol)) or columns)
         known = model.project(known, columns)
-        low = _time(start if start is not None else "0001-01-01")
-        high = _time(end) if end is not None else low + F.expr("interval 1 day") if day else _time("9999-12-31 23:59:59.999999")
-        first = _time("0001-01-01") if carry_in == "unbounded" else low
+        low = instant(start if start is not None else "0001-01-01")
+        high = instant(end) if end is not None else low + F.expr("interval 1 day") if day else instant("9999-12-31 23:59:59.999999")
+        first = instant("0001-01-01") if carry_in == "unbounded" else low
         used = segments.search(known, first, high)
-        names = [(r["segment_id"], r["commit"]) for r in used.select("segment_id", "commit").distinct().orderBy("commit", "segment_id").collect()]
+        commits = used.select("segment_id", "commit").distinct()
+        names = sorted(r["segment_id"] for r in commits.select("segment_id").collect())
         if not names:
             return self.spark.createDataFrame([], model.TALL_SCHEMA)
-        commits = F.create_map(*[F.lit(x) for pair in names for x in pair])
-        rows = model.project(self._read([n for n, _ in names]), columns).where(F.col("symbol").isin(*symbols) & (F.col("ts") <= high))
-        rows = rows.withColumn("commit", commits[F.col("segment_id")])
+        rows = model.project(self._read(names), columns).where(F.col("symbol").isin(*symbols) & (F.col("ts") <= high))
+        rows = rows.join(commits, "segment_id")
         if carry_in == "none":
             rows = rows.where((F.col("ts") >= low) & (F.col("year") >= F.year(low)))
         else:
