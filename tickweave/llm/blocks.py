@@ -26,24 +26,46 @@ def deal_blocks(members: DataFrame, sizes: DataFrame, group: list[str], spread:
     return dealt.select(*members.columns, "part", F.least("part", "with").alias("bi"), F.greatest("part", "with").alias("bj"))
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key, whole, from batches sorted by ``keys``; holds one group and one batch."""
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches, sorted by ``keys``, cut so that every key's rows are in one frame, with the first row of each key.
+
+    Holds one batch and the unfinished key of the one before.
+    """
     held: list[pd.DataFrame] = []
-    at = None
     for batch in batches:
         if batch.empty:
             continue
-        values = batch[keys].to_numpy()
+        if held and (batch[keys].iloc[-1] == held[0][keys].iloc[-1]).all():
+            held.append(batch)
+            continue
+        frame = pd.concat([*held, batch], ignore_index=True) if held else batch.reset_index(drop=True)
+        values = frame[keys].to_numpy()
         begins = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
-        for begin, end in zip(begins, [*begins[1:], len(batch)]):
-            key = tuple(values[begin])
-            if key != at and held:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            at = key
-            held.append(batch.iloc[begin:end])
+        if len(begins) > 1:
+            yield frame.iloc[: begins[-1]], begins[:-1]
+        held = [frame.iloc[begins[-1] :]]
     if held:
-        yield pd.concat(held, ignore_index=True)
+        frame = pd.concat(held, ignore_index=True)
+        yield frame, np.array([0])
+
+
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, whole, from batches sorted by ``keys``."""
+    for frame, begins in whole_groups(batches, keys):
+        for begin, end in zip(begins, [*begins[1:], len(frame)]):
+            yield frame.iloc[begin:end]
+
+
+def pairs_inside(begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows i < j that lie in one group, for groups that begin at ``begins`` in ``n`` rows."""
+    ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+    left, right = [], []
+    for step in range(1, int(np.diff(np.append(begins, n)).max(initial=0))):
+        i = np.flatnonzero(np.arange(n) + step < ends)
+        left.append(i)
+        right.append(i + step)
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def local_labels(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.blocks import deal_blocks, groups, link_rows
+from tickweave.llm.blocks import deal_blocks, link_rows, pairs_inside, whole_groups
 from tickweave.llm.common import stage, table
 from tickweave.llm.components import components
 
@@ -32,6 +32,8 @@ TABLES = 16
 CONFIDENCE = 6.0
 #: Vectors in one part of a bucket.
 BLOCK = 512
+#: Blocks of so many vectors or fewer are worked on together.
+SMALL = 32
 
 
 @lru_cache(maxsize=8)
@@ -78,50 +80,97 @@ def estimates(signs: np.ndarray, own: np.ndarray, rotated: np.ndarray) -> tuple[
     return guess, CONFIDENCE * deviation[:, None]
 
 
-def find_links(vectors: np.ndarray, cross: np.ndarray) -> np.ndarray:
+def exact(vectors: np.ndarray, units: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs reach the threshold, in double precision; scaled vectors where a square over- or underflows."""
+    linked = np.zeros(len(i), dtype=bool)
+    for begin in range(0, len(i), 1 << 16):
+        part = slice(begin, begin + (1 << 16))
+        a, b = vectors[i[part]], vectors[j[part]]
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+            cosine = (a * b).sum(axis=1) / norm
+        scaled = (units[i[part]] * units[j[part]]).sum(axis=1)
+        linked[part] = np.where(np.isfinite(cosine) & (norm > 1e-200), cosine, scaled) >= THRESHOLD
+    return linked
+
+
+def stored_codes(rows: pd.DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and correction factors as ``codes`` made them, from the bits that are stored with each vector."""
+    packed = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+    signs = np.unpackbits(packed, axis=1, count=dimension) * 2.0 - 1.0
+    return signs / np.sqrt(dimension), rows["factor"].to_numpy()
+
+
+def find_links(vectors: np.ndarray, cross: np.ndarray, signs: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Symmetric matrix of pairs inside ``cross`` at the threshold: estimated first, then computed where the bound allows."""
     units = unit(vectors)
-    signs, own = codes(units)
     guess, slack = estimates(signs, own, units @ rotations(units.shape[1])[0])
-    maybe = np.triu(cross & (guess + slack >= THRESHOLD), 1)
-    a, b = np.nonzero(maybe)
+    i, j = np.nonzero(np.triu(cross & (guess + slack >= THRESHOLD), 1))
+    sure = exact(vectors, units, i, j)
     linked = np.zeros(cross.shape, dtype=bool)
-    for begin in range(0, len(a), 1 << 16):
-        i, j = a[begin : begin + (1 << 16)], b[begin : begin + (1 << 16)]
-        dot = (vectors[i] * vectors[j]).sum(axis=1)
-        norm = np.sqrt((vectors[i] ** 2).sum(axis=1) * (vectors[j] ** 2).sum(axis=1))
-        scaled = (units[i] * units[j]).sum(axis=1)
-        with np.errstate(all="ignore"):
-            cosine = dot / norm
-        sure = np.where(np.isfinite(cosine) & (norm > 1e-200), cosine, scaled)
-        linked[i, j] = linked[j, i] = sure >= THRESHOLD
+    linked[i[sure], j[sure]] = linked[j[sure], i[sure]] = True
+    return linked
+
+
+def find_pairs(vectors: np.ndarray, i: np.ndarray, j: np.ndarray, signs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The same for a list of pairs."""
+    units = unit(vectors)
+    rotated = units @ rotations(units.shape[1])[0]
+    guess = np.concatenate([(signs[i[k : k + 65536]] * rotated[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)] or [np.empty(0)]) / own[i]
+    deviation = np.sqrt((1 - THRESHOLD**2) * np.maximum(1 - own[i] ** 2, 0)) / own[i] / np.sqrt(max(vectors.shape[1] - 1, 1))
+    maybe = guess + CONFIDENCE * deviation >= THRESHOLD
+    linked = np.zeros(len(i), dtype=bool)
+    linked[maybe] = exact(vectors, units, i[maybe], j[maybe])
     return linked
 
 
 def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for dimension, part in batch.groupby(batch["vector"].map(len)):
-            found = buckets(unit(np.stack(part["vector"].to_numpy()).astype(np.float64)))
-            yield part[["rep", "copies", "vector"]].assign(dimension=dimension, buckets=list(found))
+            units = unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
+            signs, own = codes(units)
+            bits = [row.tobytes() for row in np.packbits(signs > 0, axis=1)]
+            yield part[["rep", "copies", "vector"]].assign(dimension=dimension, code=bits, factor=own, buckets=list(buckets(units)))
 
 
 def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in groups(batches, ["dimension", "turn", "bucket", "bi", "bj"]):
-        if len(block) < 2:
-            continue
-        turn = int(block["turn"].iat[0])
-        if block["bi"].iat[0] == block["bj"].iat[0]:
-            cross = ~np.eye(len(block), dtype=bool)
-        else:
-            part = block["part"].to_numpy()
-            cross = part[:, None] != part[None, :]
-        # a pair that has met in an earlier table was dealt with there
-        met = np.stack(block["buckets"].to_numpy())
-        for earlier in range(turn):
-            cross &= met[:, earlier][:, None] != met[:, earlier][None, :]
-        if cross.any():
-            vectors = np.stack(block["vector"].to_numpy()).astype(np.float64)
-            yield link_rows(find_links(vectors, cross), block["rep"].to_numpy(), block["copies"].to_numpy())
+    """Links of every block: small ones all at once as a list of pairs, larger ones as a matrix each."""
+    for frame, begins in whole_groups(batches, ["dimension", "turn", "bucket", "bi", "bj"]):
+        sizes = np.diff(np.append(begins, len(frame)))
+        few = (sizes > 1) & (sizes <= SMALL)
+        inside = np.repeat(few, sizes)
+        for dimension, part in frame[inside].groupby("dimension", sort=False):
+            yield small_blocks(part)
+        for begin, size in zip(begins[sizes > SMALL], sizes[sizes > SMALL]):
+            yield large_block(frame.iloc[begin : begin + size])
+
+
+def small_blocks(part: pd.DataFrame) -> pd.DataFrame:
+    values = part[["turn", "bucket", "bi", "bj"]].to_numpy()
+    begins = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+    i, j = pairs_inside(begins, len(part))
+    met, turn, own = np.stack(part["buckets"].to_numpy()), part["turn"].to_numpy(), part["part"].to_numpy()
+    fresh = (part["bi"].to_numpy() == part["bj"].to_numpy())[i] | (own[i] != own[j])
+    for earlier in range(TABLES):
+        fresh &= (turn[i] <= earlier) | (met[i, earlier] != met[j, earlier])
+    i, j = i[fresh], j[fresh]
+    vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
+    linked = find_pairs(vectors, i, j, *stored_codes(part, vectors.shape[1]))
+    i, j = i[linked], j[linked]
+    ids, weights = part["rep"].to_numpy(), part["copies"].to_numpy()
+    root = np.minimum(ids[i], ids[j])
+    return pd.DataFrame({"id": np.r_[ids[i], ids[j]], "links": np.r_[weights[j], weights[i]], "root": np.r_[root, root]})
+
+
+def large_block(block: pd.DataFrame) -> pd.DataFrame:
+    turn, part = int(block["turn"].iat[0]), block["part"].to_numpy()
+    cross = ~np.eye(len(block), dtype=bool) if block["bi"].iat[0] == block["bj"].iat[0] else part[:, None] != part[None, :]
+    # a pair that has met in an earlier table was dealt with there
+    met = np.stack(block["buckets"].to_numpy())
+    for earlier in range(turn):
+        cross &= met[:, earlier][:, None] != met[:, earlier][None, :]
+    vectors = np.stack(block["vector"].to_numpy()).astype(np.float64)
+    return link_rows(find_links(vectors, cross, *stored_codes(block, vectors.shape[1])), block["rep"].to_numpy(), block["copies"].to_numpy())
 
 
 def usable(vector) -> F.Column:
@@ -146,13 +195,13 @@ def embedding_dedup(embeddings: DataFrame) -> DataFrame:
     distinct = hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     distinct = stage(distinct, "vectors")
 
-    placed = distinct.mapInPandas(assign, "rep long, copies long, vector array<double>, dimension int, buckets array<long>")
+    placed = distinct.mapInPandas(assign, "rep long, copies long, vector array<double>, dimension int, code binary, factor double, buckets array<long>")
     placed = stage(placed.withColumn("vector", F.col("vector").cast(embeddings.schema["embedding"].dataType)), "buckets")
     group = ["dimension", "turn", "bucket"]
     spots = placed.select("rep", "dimension", F.posexplode("buckets").alias("turn", "bucket"))
     sizes = stage(spots.groupBy(group).agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     dealt = stage(deal_blocks(spots, sizes, group, "rep", BLOCK), "blocks")
-    work = dealt.join(placed.select("rep", "copies", "vector", "buckets"), "rep")
+    work = dealt.join(placed.select("rep", "copies", "vector", "code", "factor", "buckets"), "rep")
     keys = [*group, "bi", "bj"]
     found = stage(work.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(verify, "id long, links long, root long"), "verified")
 
