@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import hide_null, show_null, stage, table
@@ -165,8 +166,9 @@ def positions(rows: DataFrame) -> DataFrame:
 
     ranged = rows.select("row", "key", "doc_tokens", tie.alias("tie")).repartitionByRange("key", "tie", "row").sortWithinPartitions("key", "tie", "row")
     local = stage(ranged.mapInPandas(running, "row long, part int, begin long, doc_tokens long"), "positions")
-    sums = local.groupBy("part").agg(F.sum("doc_tokens").alias("n")).withColumnRenamed("part", "p")
-    starts = sums.alias("a").join(sums.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("start"))
+    sums = local.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("start"))
     return local.join(F.broadcast(starts), local["part"] == starts["p"]).select("row", (F.col("begin") + F.col("start")).alias("begin"))
 
 
