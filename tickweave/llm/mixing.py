@@ -22,7 +22,7 @@ FRAGMENT_WORDS = 50
 FRAGMENT_RATE = 0.5
 SEED = "mix-1"
 #: Cells of the order key in which sizes are summed before any row is ranked.
-CELLS = 65536
+CELLS = 4096
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
