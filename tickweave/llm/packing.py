@@ -28,7 +28,7 @@ END_ID = 2
 DIMENSIONS, BITS = 4, 10
 BUCKETS = 1024
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 
 _random = np.random.Generator(np.random.PCG64(7))
 PROJECTION = _random.choice(np.array([-1.0, 1.0]), size=(BUCKETS, DIMENSIONS))
