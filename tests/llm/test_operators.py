@@ -273,6 +273,35 @@ def test_quality_rules(spark):
     assert (counts == brute).all()
 
 
+@pytest.mark.parametrize("part", [10**9, 20_000])
+def test_quality_scores_do_not_weaken_with_the_corpus(spark, monkeypatch, part):
+    """More n-grams than BUCKETS: every score is that of exact counts, and junk is told from prose."""
+    monkeypatch.setattr(quality_rules, "PART", part)
+    monkeypatch.setattr(quality_rules, "HELD", 30_000)
+    draw = random.Random(11)
+    good = [words(draw, 300, 20000) + " " + words(draw, 100, 60) for _ in range(400)]
+    bad = [" ".join(w + draw.choice(["###", "$$$", ""]) for w in words(draw, 100, 20000).split()) + " buy now" * 60 for _ in range(60)]
+    texts = [*good, *bad, None, ""]
+    docs = make_docs(spark, texts).unionByName(make_docs(spark, texts).where("doc_id = 3")).repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(0, 460, 2)], "doc_id long, quality int, toxic int")
+    grams = [Counter((w := (t or "").split()) + list(zip(w, w[1:]))) for t in texts]
+    raw, trusted = Counter(grams[3]), Counter()
+    for i, own in enumerate(grams):
+        raw.update(own)
+        trusted.update(own if i < 400 and i % 2 == 0 else {})
+    assert len(raw) > 2 * quality_rules.BUCKETS
+    rows = quality_rules.quality_rules(docs, labels).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        own = grams[r["doc_id"]]
+        n = own.total()
+        ratio = trusted.total() / (raw.total() - n)
+        score = sum(c * np.log((trusted[g] + 5) / ((raw[g] - c) * ratio + 5)) for g, c in own.items()) / max(n, 1)
+        assert abs(r["score"] - score) < 1e-9, r["doc_id"]
+        assert r["kept"] == (score >= quality_rules.THRESHOLD and not r["base_failed"])
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs, labels).collect()} == {r["doc_id"] for r in rows if r["kept"]}
+
+
 # 5 and 9 classifiers
 
 

@@ -1,26 +1,42 @@
 """Quality rules: counts over whole texts and a likelihood ratio of hashed n-grams.
 
-Words and word pairs are hashed to ``BUCKETS`` buckets. Two multinomials are
-counted over them: one of trusted documents (label quality 1), one of the whole
-raw corpus. A document's score is the mean log ratio of its n-grams, so length
-does not count; a document passes at ``THRESHOLD`` or above. The same corpus
-and labels always give the same verdicts.
+Words and word pairs are hashed. Two multinomials are counted over the hashes:
+one of trusted documents (label quality 1), one of the whole raw corpus. A
+document's score is the mean log ratio of its n-grams, so length does not
+count; a document passes at ``THRESHOLD`` or above. The same corpus and labels
+always give the same verdicts.
+
+PRIOR and THRESHOLD are absolute, so n-grams must not share a count, whatever
+the size of the corpus. A corpus of at most ``BUCKETS`` n-grams is counted in
+one table that every task holds. The n-grams of a larger one are dealt by their
+hash to parts of about ``PART`` n-grams with 2^32 hashes each; a part counts
+its n-grams and returns what they add to the score of each document.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import hide_null, show_null, stage, table
+from tickweave.llm.blocks import groups
+from tickweave.llm.common import hide_null, show_null, stage, table, word_count
+from tickweave.llm.ngram_join import mix64
 
+#: Buckets of the table for a corpus that has no more n-grams.
 BUCKETS = 1 << 16
+#: N-grams that one part of a larger corpus counts at a time.
+PART = 2_000_000
+#: Parts at least, so that small corpora are counted by many tasks as well.
+PARTS = 32
+#: N-grams that a task gathers before it deals them.
+HELD = 2_000_000
 #: Labelled rows, at most, that the trusted multinomial is fitted on.
 TRUSTED_ROWS = 40_000
 #: Occurrences that each bucket is given on both sides, so that a few sightings of a rare n-gram say little.
@@ -41,11 +57,16 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def ngram_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of every word, then of every pair of neighbours."""
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    two = mix64(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return np.concatenate([one, two])
+
+
 def ngram_buckets(words: list[bytes]) -> np.ndarray:
     """Bucket of every word, then of every pair of neighbours."""
-    one = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
-    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-    return (np.concatenate([one, two]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (ngram_keys(words) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -79,16 +100,22 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     )
 
 
-def fit_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Raw and trusted count of every bucket.
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``trusted``: whether the row is one of at most TRUSTED_ROWS labelled good.
 
-    The raw counts are over all documents, the trusted ones over at most
-    TRUSTED_ROWS of those labelled good, chosen by a hash of the id: so many
-    ids are broadcast and no text is shuffled. A task sends one row for each
-    bucket at most, and only the sums come to the driver.
+    Chosen by a hash of the id: so many ids are broadcast and no text is shuffled.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     trusted = stage(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS), "trusted").withColumn("trusted", F.lit(True))
+    return docs.join(F.broadcast(trusted), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def fit_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Raw and trusted count of every bucket.
+
+    A task sends one row for each bucket at most, and only the sums come to the
+    driver.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -101,7 +128,7 @@ def fit_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total[0])
         yield pd.DataFrame({"bucket": used, "raw": total[0, used], "good": total[1, used]})
 
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    flagged = trusted_rows(docs.select("doc_id", "text"), labels).select("text", "trusted")
     sums = flagged.mapInPandas(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[:, sums["bucket"]] = sums[["raw", "good"]].to_numpy(dtype=float).T
@@ -125,14 +152,152 @@ def score_text(words: list[bytes], counts: np.ndarray, totals: tuple[float, floa
     return float((own * ratio).sum() / len(buckets))
 
 
-def judge_text(text: str | None, counts: np.ndarray, totals: tuple[float, float], threshold: float) -> tuple:
-    """Base counts, base_failed, score and kept of one text."""
-    text = text or ""
-    words = split_words(text)
-    base = base_counts(text, words)
-    failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-    score = score_text(words, counts, totals)
-    return (*base, failed, score, not failed and score >= threshold)
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them, whose letter stands first."""
+    kind = np.min_scalar_type(numbers.max(initial=0))
+    return kind.char.encode() + numbers.astype(kind).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, data[:1].decode(), offset=1).astype(np.int64)
+
+
+DEALT = "part long, batch long, n_docs long, n_trusted long, keys binary, doc binary, own binary, length binary, row binary"
+
+
+def deal(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Cuts the n-grams of a batch of documents, each once a document with its count, by their hash into ``parts``.
+
+    One more record holds the documents' row hashes. Trusted documents come
+    first, so their number tells which they are.
+    """
+
+    def cut(texts: list[tuple], batch: int) -> pd.DataFrame:
+        texts.sort(key=lambda x: not x[1])
+        sizes = [len(keys) for _, _, keys, _, _ in texts]
+        doc, length = np.repeat(np.arange(len(texts)), sizes), np.array([n for *_, n in texts], dtype=np.int64)
+        keys, own = np.concatenate([x[2] for x in texts]), np.concatenate([x[3] for x in texts])
+        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        known = (batch, len(texts), sum(x[1] for x in texts))
+        out = [(batch % parts, *known, None, None, None, pack(length), np.array([x[0] for x in texts], dtype="<i8").tobytes())]
+        for p in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[p] : bounds[p + 1]]
+            # the hash within its part, spread over 32 bits
+            low = (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
+            out.append((int(p), *known, low.tobytes(), pack(np.diff(doc[at], prepend=0)), pack(own[at]), pack(length[doc[at]]), None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DEALT.split(", ")])
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, held, n = [], 0, 0
+        first = TaskContext.get().partitionId() << 32
+        for frame in batches:
+            for row, trusted, text in zip(frame["row"], frame["trusted"], frame["text"]):
+                found = ngram_keys(split_words(text or ""))
+                if len(found):
+                    texts.append((row, bool(trusted), *np.unique(found, return_counts=True), len(found)))
+                    held += len(texts[-1][2])
+                if held >= HELD:
+                    yield cut(texts, first + n)
+                    texts, held, n = [], 0, n + 1
+        if texts:
+            yield cut(texts, first + n)
+
+    return apply
+
+
+def weigh(totals: tuple[float, float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts the n-grams of each part and sums what they add to each document, as score_text defines it."""
+    raw, trusted = totals
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for frame in groups(batches, ["part"]):
+            for named in frame[frame["row"].notna()].itertuples():
+                yield pd.DataFrame({"batch": [named.batch], "row": [named.row], "length": [named.length], "sums": [None]})
+            pieces = frame[frame["row"].isna()]
+            if not len(pieces):
+                continue
+            keys = np.concatenate([np.frombuffer(x, "<u4") for x in pieces["keys"]])
+            docs = [np.cumsum(unpack(x)) for x in pieces["doc"]]
+            good = np.concatenate([doc < n for doc, n in zip(docs, pieces["n_trusted"])])
+            own, length = (np.concatenate([unpack(x) for x in pieces[c]]) for c in ("own", "length"))
+            _, at = np.unique(keys, return_inverse=True)
+            others = np.bincount(at, own)[at] - own
+            with np.errstate(divide="ignore", invalid="ignore"):
+                expected = others * (trusted / (raw - length))
+                adds = np.where(raw > length, own * (np.log(np.bincount(at, own * good)[at] + PRIOR) - np.log(expected + PRIOR)), 0.0)
+            begin = 0
+            for batch, n, doc in zip(pieces["batch"], pieces["n_docs"], docs):
+                sums[batch] = sums.get(batch, 0.0) + np.bincount(doc, adds[begin : begin + len(doc)], minlength=n)
+                begin += len(doc)
+        for batch, total in sums.items():
+            yield pd.DataFrame({"batch": [batch], "row": [None], "length": [None], "sums": [total.astype("<f8").tobytes()]})
+
+    return apply
+
+
+def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Score of every row hash of a batch from the sums of its parts."""
+    for frame in groups(batches, ["batch"]):
+        named = frame[frame["row"].notna()].iloc[0]
+        total = np.sum([np.frombuffer(x, "<f8") for x in frame["sums"] if x is not None], axis=0)
+        yield pd.DataFrame({"row": np.frombuffer(named["row"], "<i8"), "score": total / unpack(named["length"])})
+
+
+def dealt_scores(flagged: DataFrame, totals: tuple[float, float]) -> DataFrame:
+    """``row, score`` of the texts with words; no count is held by a task beyond its part."""
+    parts = max(PARTS, math.ceil(totals[0] / PART))
+    dealt = flagged.mapInPandas(deal(parts), DEALT).repartition("part").sortWithinPartitions("part")
+    summed = dealt.mapInPandas(weigh(totals), "batch long, row binary, length binary, sums binary").repartition("batch").sortWithinPartitions("batch")
+    return summed.mapInPandas(add_up, "row long, score double")
+
+
+def table_scores(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``row, score`` of every text by one table of counts."""
+    totals = (float(counts[0].sum()), float(counts[1].sum()))
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"row": batch["row"], "score": [score_text(split_words(text or ""), shared.value, totals) for text in batch["text"]]})
+
+    return rows.select("row", "text").mapInPandas(score, "row long, score double")
+
+
+def row_hash() -> Column:
+    """Stands for an id with its text, so that rows that share an id keep their own verdict."""
+    return F.xxhash64("doc_id", "text")
+
+
+def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``row`` (by row_hash) and ``score``, once each; texts without words may be absent and score 0."""
+    rows = docs.select("doc_id", "text", row_hash().alias("row"))
+    flagged = trusted_rows(rows, labels)
+    n = F.greatest(2 * word_count(F.col("text")) - 1, F.lit(0))
+    raw, trusted = flagged.agg(F.sum(n), F.sum(F.when(F.col("trusted"), n))).first()
+    if not trusted:
+        scores = docs.sparkSession.createDataFrame([], "row long, score double")
+    elif raw <= BUCKETS:
+        scores = table_scores(rows, fit_counts(docs, labels))
+    else:
+        scores = dealt_scores(flagged, (float(raw), float(trusted)))
+    return stage(scores.groupBy("row").agg(F.min("score").alias("score")), "scores")
+
+
+def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [base_counts(text or "", split_words(text or "")) for text in batch["text"]]
+        yield pd.concat([batch[["doc_id", "row"]].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in BASE_COLUMNS.split(", ")])], axis=1)
+
+
+def judged_rows(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, row``, the base counts, ``base_failed``, ``score`` and ``kept``; NO_ID for a null id."""
+    own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), row_hash().alias("row"), "text")
+    based = own.mapInPandas(judge, f"doc_id long, row long, {BASE_COLUMNS}").join(text_scores(docs, labels), "row", "left")
+    judged = based.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,32 +307,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     time; a null doc_id stays null; an empty table gives an empty result. Texts
     of any length are read whole, other columns not at all.
     """
-    counts = fit_counts(docs, labels)
-    totals = (float(counts[0].sum()), float(counts[1].sum()))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed score kept".split()
-        for batch in batches:
-            rows = [judge_text(text, shared.value, totals, threshold) for text in batch["text"]]
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    judged = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(judge, f"doc_id long, {BASE_COLUMNS}, base_failed boolean, score double, kept boolean")
-    return judged.withColumn("doc_id", show_null(F.col("doc_id")))
+    judged = judged_rows(docs, labels, threshold)
+    return judged.select(show_null(F.col("doc_id")).alias("doc_id"), *[c.split()[0] for c in BASE_COLUMNS.split(", ")], "base_failed", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text passes, with all their columns as they are."""
-    counts = fit_counts(docs, labels)
-    totals = (float(counts[0].sum()), float(counts[1].sum()))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            passed = [judge_text(text, shared.value, totals, threshold)[-1] for text in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(passed, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    kept = stage(judged_rows(docs, labels, threshold).where("kept").select("row").distinct(), "kept")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_hash().alias("row"))
+    return named.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
