@@ -302,6 +302,13 @@ def test_quality_scores_do_not_weaken_with_the_corpus(spark, monkeypatch, part):
     assert {r["doc_id"] for r in quality_rules.keep_good(docs, labels).collect()} == {r["doc_id"] for r in rows if r["kept"]}
 
 
+def test_all_labelled_good_rows_are_counted(spark):
+    n = 45_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality_rules.fit_counts(docs, labels).sum(axis=1).tolist() == [n, n]
+
+
 # 5 and 9 classifiers
 
 

@@ -16,12 +16,13 @@ its n-grams and returns what they add to the score of each document.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ PART = 2_000_000
 PARTS = 32
 #: N-grams that a task gathers before it deals them.
 HELD = 2_000_000
-#: Labelled rows, at most, that the trusted multinomial is fitted on.
-TRUSTED_ROWS = 40_000
 #: Occurrences that each bucket is given on both sides, so that a few sightings of a rare n-gram say little.
 PRIOR = 5.0
 #: A mean log ratio below this is nearer to the raw corpus than to the trusted text.
@@ -100,36 +99,46 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     )
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``trusted``: whether the row is one of at most TRUSTED_ROWS labelled good.
+def trusted_ids(labels: DataFrame) -> np.ndarray:
+    """Sorted ids of all rows labelled good.
 
-    Chosen by a hash of the id: so many ids are broadcast and no text is shuffled.
+    Eight bytes each come to the driver and go to the tasks, so that no text is
+    shuffled to its label.
     """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    trusted = stage(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS), "trusted").withColumn("trusted", F.lit(True))
-    return docs.join(F.broadcast(trusted), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return np.sort(good.toArrow().column("doc_id").to_numpy())
+
+
+def among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ids are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(ids), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
 
 
 def fit_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Raw and trusted count of every bucket.
+    """Raw and trusted count of every bucket, over all documents and all of those labelled good.
 
     A task sends one row for each bucket at most, and only the sums come to the
     driver.
     """
 
+    good = docs.sparkSession.sparkContext.broadcast(trusted_ids(labels))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
+            trusted = among(batch["doc_id"].to_numpy(), good.value)
             for begin in range(0, len(batch), SLICE):
                 found = [ngram_buckets(split_words(text or "")) for text in batch["text"].iloc[begin : begin + SLICE]]
-                for row, part in ((0, found), (1, [f for f, t in zip(found, batch["trusted"].iloc[begin : begin + SLICE]) if t])):
+                for row, part in ((0, found), (1, [f for f, t in zip(found, trusted[begin : begin + SLICE]) if t])):
                     if part:
                         total[row] += np.bincount(np.concatenate(part), minlength=BUCKETS)
         used = np.flatnonzero(total[0])
         yield pd.DataFrame({"bucket": used, "raw": total[0, used], "good": total[1, used]})
 
-    flagged = trusted_rows(docs.select("doc_id", "text"), labels).select("text", "trusted")
-    sums = flagged.mapInPandas(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    rows = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text")
+    sums = rows.mapInPandas(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[:, sums["bucket"]] = sums[["raw", "good"]].to_numpy(dtype=float).T
     return counts
@@ -153,19 +162,19 @@ def score_text(words: list[bytes], counts: np.ndarray, totals: tuple[float, floa
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest type that holds them, whose letter stands first."""
+    """Whole numbers, compressed in the narrowest type that holds them, whose letter stands first."""
     kind = np.min_scalar_type(numbers.max(initial=0))
-    return kind.char.encode() + numbers.astype(kind).tobytes()
+    return kind.char.encode() + zlib.compress(numbers.astype(kind).tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, data[:1].decode(), offset=1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(data[1:]), data[:1].decode()).astype(np.int64)
 
 
 DEALT = "part long, batch long, n_docs long, n_trusted long, keys binary, doc binary, own binary, length binary, row binary"
 
 
-def deal(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def deal(parts: int, good: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Cuts the n-grams of a batch of documents, each once a document with its count, by their hash into ``parts``.
 
     One more record holds the documents' row hashes. Trusted documents come
@@ -193,7 +202,7 @@ def deal(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
         texts, held, n = [], 0, 0
         first = TaskContext.get().partitionId() << 32
         for frame in batches:
-            for row, trusted, text in zip(frame["row"], frame["trusted"], frame["text"]):
+            for row, trusted, text in zip(frame["row"], among(frame["doc_id"].to_numpy(), good.value), frame["text"]):
                 found = ngram_keys(split_words(text or ""))
                 if len(found):
                     texts.append((row, bool(trusted), *np.unique(found, return_counts=True), len(found)))
@@ -246,10 +255,11 @@ def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": np.frombuffer(named["row"], "<i8"), "score": total / unpack(named["length"])})
 
 
-def dealt_scores(flagged: DataFrame, totals: tuple[float, float]) -> DataFrame:
+def dealt_scores(rows: DataFrame, good: np.ndarray, totals: tuple[float, float]) -> DataFrame:
     """``row, score`` of the texts with words; no count is held by a task beyond its part."""
     parts = max(PARTS, math.ceil(totals[0] / PART))
-    dealt = flagged.mapInPandas(deal(parts), DEALT).repartition("part").sortWithinPartitions("part")
+    shared = rows.sparkSession.sparkContext.broadcast(good)
+    dealt = rows.mapInPandas(deal(parts, shared), DEALT).repartition("part").sortWithinPartitions("part")
     summed = dealt.mapInPandas(weigh(totals), "batch long, row binary, length binary, sums binary").repartition("batch").sortWithinPartitions("batch")
     return summed.mapInPandas(add_up, "row long, score double")
 
@@ -273,16 +283,17 @@ def row_hash() -> Column:
 
 def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row`` (by row_hash) and ``score``, once each; texts without words may be absent and score 0."""
-    rows = docs.select("doc_id", "text", row_hash().alias("row"))
-    flagged = trusted_rows(rows, labels)
-    n = F.greatest(2 * word_count(F.col("text")) - 1, F.lit(0))
-    raw, trusted = flagged.agg(F.sum(n), F.sum(F.when(F.col("trusted"), n))).first()
+    rows = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), row_hash().alias("row"), "text")
+    n = F.greatest(2 * word_count(F.col("text")) - 1, F.lit(0)).alias("n")
+    counted = stage(rows.select("doc_id", n), "ngrams")
+    named = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    raw, trusted = (x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (counted, counted.join(named, "doc_id", "left_semi")))
     if not trusted:
         scores = docs.sparkSession.createDataFrame([], "row long, score double")
     elif raw <= BUCKETS:
         scores = table_scores(rows, fit_counts(docs, labels))
     else:
-        scores = dealt_scores(flagged, (float(raw), float(trusted)))
+        scores = dealt_scores(rows, trusted_ids(labels), (float(raw), float(trusted)))
     return stage(scores.groupBy("row").agg(F.min("score").alias("score")), "scores")
 
 
