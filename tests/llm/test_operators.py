@@ -103,6 +103,13 @@ def test_line_dedup_documents_keeps_columns(spark):
     assert line_dedup.dedup_documents(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_documents_of_small_sources(spark):
+    texts = [f"own {i}\nfooter" if i < 4 else f"own {i}\npair" if i < 6 else f"own {i}" for i in range(20)]
+    docs = make_docs(spark, texts).withColumn("source", F.lit("small"))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_documents(docs).collect()}
+    assert [got[i] for i in range(20)] == [f"own {i}" if i < 4 else texts[i] for i in range(20)]
+
+
 # 2 embedding dedup
 
 

@@ -78,9 +78,11 @@ def dedup_pages(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 3) ->
     return out.select("page_id", "host", (F.size("lines") + F.col("n_dropped")).cast("long").alias("n_lines"), "n_dropped", F.array_join("lines", "\n").alias("text"))
 
 
-def dedup_documents(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10) -> DataFrame:
+def dedup_documents(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """Plain documents, ``source`` as their site: same columns, ``text`` and ``n_chars`` without boilerplate lines.
 
+    The rule is that of pages: more than ``max_ratio`` of the source's documents,
+    at least ``min_pages``, whatever the source's size.
     Every document stays, with an empty text if all its lines were boilerplate;
     a null text stays null.
     """
