@@ -235,6 +235,18 @@ def test_shares_match_brute_force(spark):
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
+def test_an_entity_of_one_document_is_disclosed_by_the_whole_of_it(spark):
+    """A name of one document beside the address, a long one beyond 200 characters, one far away; not common words."""
+    texts = [f"common words of every day number {k}" for k in range(60)]
+    texts.append("zanzibar opens here " + "common words of every day " * 40 + f"mrs quixote {'x' * 250} wrote ann@mail.org common words")
+    docs = make_docs(spark, texts).unionByName(make_docs(spark, texts).where("doc_id = 60"))
+    rows = [r for r in private_data.private_spans(docs).collect() if r["doc_id"] == 60]
+    assert len(rows) == 2
+    for r in rows:
+        removed = {texts[60][int(a) : int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",")) if k == "remove"}
+        assert {"zanzibar", "quixote", "x" * 250} <= removed and not {"common", "words", "ann", "mail"} & removed
+
+
 # 4 quality rules
 
 

@@ -1,10 +1,9 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Pattern spans (e-mail, IP address, card, phone) are the protected entities. A
-term that stands near an entity can disclose it even where the entity itself is
-masked. Corpus counts estimate how much: with N documents, of which d hold the
+term of the same document can disclose an entity even where that is masked. Corpus counts estimate how much: with N documents, of which d hold the
 entity, the entity carries log2(N / d) bits, and a term in t documents that
-stands near it in b of them carries log2(N b / (t d)) of those bits. Terms that
+is in b of its documents carries log2(N b / (t d)) of those bits. Terms that
 carry more than GENERALISE of the entity's information are generalised in the
 documents that hold it, those beyond REMOVE are removed.
 """
@@ -23,10 +22,8 @@ from pyspark.sql import functions as F
 from tickweave.llm.common import hide_null, show_null, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity in which terms are looked for.
-WINDOW = 5
-#: A term and an entity count as related from so many documents on.
-SUPPORT = 2
+#: A term and an entity count as related from so many documents on; most entities stand in one only.
+SUPPORT = 1
 GENERALISE, REMOVE = 0.8, 0.95
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,11 +85,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def near_terms(text: str, start: int, end: int) -> set[str]:
-    """Terms within WINDOW words of a span, lower case."""
-    before = text[max(0, start - 40 * WINDOW) : start].split()[-WINDOW:]
-    after = text[end : end + 40 * WINDOW].split()[:WINDOW]
-    return {term.lower() for word in (*before, *after) for term in TERM.findall(word)}
+def near_terms(text: str, *bounds: int) -> set[str]:
+    """Terms of a whole text outside the spans of these starts and ends, which come by start; lower case."""
+    pieces, at = [], 0
+    for start, end in zip(bounds[::2], bounds[1::2]):
+        pieces.append(text[at : max(at, start)])
+        at = max(at, end)
+    return {term.lower() for piece in (*pieces, text[at:]) for term in TERM.findall(piece)}
 
 
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,16 +101,16 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text or ""
             spans = base_spans(text)
             kinds = [kind for _, _, kind in spans]
-            pairs = {(entity(kind, text[start:end]), term) for start, end, kind in spans for term in near_terms(text, start, end)}
-            pairs |= {(entity(kind, text[start:end]), "") for start, end, kind in spans}
+            entities = sorted({entity(kind, text[start:end]) for start, end, kind in spans})
+            terms = sorted(near_terms(text, *[x for start, end, _ in spans for x in (start, end)])) if spans else []
             base = joined(spans)
             counts = [kinds.count(kind) for kind in KINDS]
-            out.append((doc_id, version, *counts, hashlib.sha256(base.encode()).hexdigest(), base, [{"entity": e, "term": t} for e, t in sorted(pairs)]))
-        frame = pd.DataFrame(out, columns=["doc_id", "version", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "pairs"])
+            out.append((doc_id, version, *counts, hashlib.sha256(base.encode()).hexdigest(), base, entities, terms))
+        frame = pd.DataFrame(out, columns=["doc_id", "version", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "entities", "terms"])
         yield frame
 
 
-SCANNED = "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, pairs array<struct<entity:string,term:string>>"
+SCANNED = "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, terms array<string>"
 
 
 def terms_of(text: Column) -> Column:
@@ -119,35 +118,47 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_SQL), F.lit(0)))
 
 
-def disclosing_terms(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """``entity, term, share``: terms that carry at least GENERALISE of the entity's information.
+def told_pairs(scanned: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, version, entity, term, share``: terms of a document that carry at least GENERALISE of the information of one of its entities.
 
-    All counts are of documents over the whole corpus. Terms that are near no
-    entity in SUPPORT documents are left out before the corpus is counted.
+    All counts are of documents over the whole corpus. With b at most d, only a
+    term in at most N^(1 - GENERALISE) d^GENERALISE documents can carry so
+    much, so the others leave before they meet the entities of their document.
     """
     total = docs.count()
-    pairs = scanned.select(F.explode("pairs").alias("p")).select("p.entity", "p.term")
-    both = stage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "entity-terms")
-    terms = both.where("term <> ''")
-    names = stage(terms.select("term").distinct(), "terms")
-    if names.isEmpty():
-        return terms.select("entity", "term", F.lit(0.0).alias("share"))
-    used = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).join(names, "term").groupBy("term").agg(F.count("*").alias("t"))
-    entities = both.where("term = ''").select("entity", F.col("n").alias("d"))
-    told = terms.join(entities, "entity").join(used, "term")
+    row = ["doc_id", "version"]
+    held = stage(scanned.where(F.size("entities") > 0).groupBy(*row).agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "holders")
+    own = held.select(*row, "copies", F.explode("entities").alias("entity"))
+    entities = own.groupBy("entity").agg(F.sum("copies").alias("d")).where(F.col("d") < total)
+    own = stage(own.join(entities, "entity"), "entities")
+    used = stage(docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("t")), "terms")
+
+    def most(d: Column) -> Column:
+        return F.pow(F.lit(float(max(total, 1))), F.lit(1 - GENERALISE)) * F.pow(d, F.lit(GENERALISE)) * (1 + 1e-9)
+
+    reach = own.groupBy(*row).agg(most(F.max("d")).alias("most"))
+    terms = held.select(*row, F.explode("terms").alias("term")).join(used, "term").join(reach, row).where(F.col("t") <= F.col("most")).drop("most")
+    pairs = stage(own.join(terms, row).where(F.col("t") <= most(F.col("d"))), "entity-terms")
+    both = pairs.groupBy("entity", "term", "d", "t").agg(F.sum("copies").alias("n")).where(F.col("n") >= SUPPORT)
     near = F.least(F.col("n"), F.col("t"))
     share = F.log2(F.lit(float(total)) * near / (F.col("t") * F.col("d"))) / F.log2(F.lit(float(total)) / F.col("d"))
-    return told.where(F.col("d") < total).select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    shares = both.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.select(*row, "entity", "term").join(shares, ["entity", "term"])
+
+
+def disclosing_terms(scanned: DataFrame, docs: DataFrame) -> DataFrame:
+    """``entity, term, share`` of told_pairs, once each."""
+    return told_pairs(scanned, docs).select("entity", "term", "share").distinct()
 
 
 def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds the spans of a document's disclosing terms to its base spans; a term span inside a base span is left out."""
     for batch in batches:
         out = []
-        for doc_id, version, text, base, told in zip(batch["doc_id"], batch["version"], batch["text"], batch["base"], batch["told"]):
+        for doc_id, version, text, told in zip(batch["doc_id"], batch["version"], batch["text"], batch["told"]):
             text = text or ""
             acts = {x["term"]: "remove" if x["share"] >= REMOVE else "generalise" for x in sorted(told, key=lambda x: x["share"])}
-            spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+            spans = base_spans(text)
             ends = [e for _, e, _ in sorted(spans)]
             starts = [s for s, _, _ in spans]
             for m in TERM.finditer(text):
@@ -173,10 +184,9 @@ def private_spans(docs: DataFrame) -> DataFrame:
     own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     row = ["doc_id", "version"]
     scanned = stage(own.mapInPandas(scan, SCANNED), "private-spans")
-    told = stage(disclosing_terms(scanned, own), "disclosing")
-    held = scanned.select(*row, "base", F.explode("pairs").alias("p")).where("p.term = ''")
-    hit = held.join(told, F.col("p.entity") == told["entity"]).groupBy(*row, "base").agg(F.collect_set(F.struct("term", "share")).alias("told"))
-    texts = own.join(stage(hit, "hits"), row).dropDuplicates(row).select(*row, "text", "base", "told")
+    most = told_pairs(scanned, own).groupBy(*row, "term").agg(F.max("share").alias("share"))
+    hit = most.groupBy(*row).agg(F.collect_list(F.struct("term", "share")).alias("told"))
+    texts = own.join(stage(hit, "hits"), row).dropDuplicates(row).select(*row, "text", "told")
     marked = stage(texts.mapInPandas(mark, "doc_id long, version long, marked string"), "marked")
     out = scanned.join(marked, row, "left")
     return out.select(show_null(F.col("doc_id")).alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("marked", "base").alias("spans"))
