@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
 Terms that mark labelled toxic text become lexicon voters, and patterns over
-them more voters. A generative label model with one pair of firing rates for
-each voter is fitted on the votes of all documents, and correlations inside
-the classes discount voters that repeat each other. A linear classifier is
-trained on the model's posterior labels and scores every document.
+them more voters. A generative label model is fitted on the votes of all
+documents: every voter's firing rates in the classes, and for voters that
+repeat each other the rates given the vote of the one they hang on. A linear
+classifier is trained on the model's posterior labels and scores every document.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import hide_null, show_null, stage, table
@@ -25,14 +25,18 @@ from tickweave.llm.training import fit_logistic, held_out, sigmoid, training_lab
 FOLDS, FOLD = 3, 1
 #: Labelled rows of each class that terms are mined from and the classifier is fitted on.
 TRAIN_ROWS = 6000
-#: Terms that the classifier sees, the first of which vote on their own.
-TERMS, TERM_VOTERS = 4096, 40
+#: A term tells something from so many toxic texts, log odds and likelihood ratio statistic on (2.71: one chance in ten).
+MIN_SEEN, MIN_ODDS, TELLING_G = 3, 0.5, 2.71
+#: Terms that vote on their own, best first; votes and PATTERNS share a 64-bit number. The others count through the patterns.
+TERM_VOTERS = 56
 PREFIXES = (5, 6, 7, 8)
 #: Likelihood ratio statistic and log odds from which a term belongs to the lexicon.
 STRONG_G, STRONG_ODDS = 30.0, 1.5
 #: Labelled sightings that the label model's starting rates are worth.
 PRIOR_ROWS = 500.0
 ROUNDS = 5
+#: No rate is nearer to 0 or 1.
+LEAST = 1e-4
 
 WORD = re.compile(r"[^\W\d_]{3,}")
 PATTERNS = 7
@@ -42,12 +46,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def terms_in(words: set[str]) -> set[str]:
-    """Whole words and, with ~, the beginnings of longer ones."""
-    found = set(words)
-    for k in PREFIXES:
-        found.update([word[:k] + "~" for word in words if len(word) > k])
-    return found
+def terms_in(words: Column) -> Column:
+    """Distinct terms of a text's words: whole words and, with ~, the beginnings of longer ones."""
+    return F.array_distinct(F.concat(words, *[F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("~"))) for k in PREFIXES]))
 
 
 def least_hash(words: list[str]) -> int:
@@ -57,41 +58,31 @@ def least_hash(words: list[str]) -> int:
 
 
 def mine_terms(sample: DataFrame) -> pd.DataFrame:
-    """``term, n1, n0, g, odds`` of the TERMS most telling terms, best first; ``sample`` has ``text, y``.
+    """``term, n1, n0, g, odds`` of all telling terms, best first; ``sample`` has ``doc_id, text, y``.
 
-    Of near copies in the sample one speaks, so a much-copied text does not
-    make its words a lexicon.
+    Of near copies in the sample one speaks, that with the smallest id, so a
+    much-copied text does not make its words a lexicon. The sample is bounded,
+    and so are its terms.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [words_of(text) for text in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "copy": [least_hash(w) for w in found], "words": [sorted(set(w)) for w in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "copy": [least_hash(w) for w in found], "words": [sorted(set(w)) for w in found]})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = (Counter(), Counter())
-        for batch in batches:
-            for y, words in zip(batch["y"], batch["words"]):
-                counts[y].update(terms_in(set(words)))
-            if len(counts[0]) + len(counts[1]) > 300_000:
-                yield frame(counts)
-                counts = (Counter(), Counter())
-        yield frame(counts)
-
-    def frame(counts: tuple[Counter, Counter]) -> pd.DataFrame:
-        names = list(counts[1].keys() | counts[0].keys())
-        return pd.DataFrame({"term": names, "n1": [counts[1][x] for x in names], "n0": [counts[0][x] for x in names]})
-
-    single = stage(sample.mapInPandas(cut, "y int, copy long, words array<string>").dropDuplicates(["y", "copy"]), "toxic-sample")
+    speaker = F.min_by("words", F.struct("doc_id", F.xxhash64("words")))
+    single = sample.select("doc_id", "text", "y").mapInPandas(cut, "doc_id long, y int, copy long, words array<string>").groupBy("y", "copy").agg(speaker.alias("words"))
+    single = stage(single, "toxic-sample")
     sizes = {r["y"]: r["count"] for r in single.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return pd.DataFrame(columns=["term", "n1", "n0", "g", "odds"])
-    terms = single.mapInPandas(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    terms = single.select("y", F.explode(terms_in(F.col("words"))).alias("term")).groupBy("term").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
     both = F.col("n1") + F.col("n0")
     g = 2 * (F.col("n1") * F.log(F.col("n1") * (n1 + n0) / (both * n1)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") * (n1 + n0) / (both * n0))).otherwise(0.0))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    return terms.where("n1 >= 3").withColumn("g", g).withColumn("odds", odds).where("odds > 0.5").orderBy(F.desc("g"), "term").limit(TERMS).toPandas()
+    told = terms.where(F.col("n1") >= MIN_SEEN).withColumn("g", g).withColumn("odds", odds).where((F.col("odds") > MIN_ODDS) & (F.col("g") >= TELLING_G))
+    return told.orderBy(F.desc("g"), "term").toPandas()
 
 
 def pick_voters(terms: pd.DataFrame) -> list[int]:
@@ -144,33 +135,78 @@ def bits(votes: np.ndarray, n: int) -> np.ndarray:
     return ((votes[:, None] >> np.arange(n, dtype=np.int64)) & 1).astype(np.float64)
 
 
-def posterior(fired: np.ndarray, rates: np.ndarray, discount: np.ndarray, prior: float) -> np.ndarray:
-    """P(toxic) of votes; ``rates`` holds each voter's firing rate on clean and on toxic text."""
-    yes = np.log(rates[1]) - np.log(rates[0])
-    no = np.log1p(-rates[1]) - np.log1p(-rates[0])
-    return sigmoid(np.log(prior / (1 - prior)) + fired @ (yes * discount) + (1 - fired) @ (no * discount))
+class LabelModel:
+    """How lexicon and pattern voters fire on clean and on toxic text.
 
+    A voter's accuracy is its firing rate in each class. Voters repeat each
+    other, so every voter but one depends on a second one: the tree over all
+    voters that holds the most mutual information inside the classes, with the
+    voter's rate in each class for either vote of the one it depends on.
+    ``pairs`` (2, n, n) are the rates at which two voters fire together.
+    """
 
-def fit_label_model(patterns: DataFrame, sample_votes: np.ndarray, sample_y: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Firing rates, correlation discounts and class share, by EM over the vote patterns of all documents.
+    def __init__(self, pairs: np.ndarray, prior: float):
+        n = pairs.shape[1]
+        self.prior = prior
+        rate = np.stack([np.diag(p) for p in pairs]).clip(LEAST, 1 - LEAST)
+        one, other = rate[:, :, None], rate[:, None, :]
+        # (2, n, n) each: both fire, the first alone, the second alone, neither
+        both = np.clip(pairs, np.maximum(0, one + other - 1) + LEAST**2, np.minimum(one, other) - LEAST**2)
+        cells = [(both, one * other), (one - both, one * (1 - other)), (other - both, (1 - one) * other), (1 - one - other + both, (1 - one) * (1 - other))]
+        shared = sum(np.maximum(p, LEAST**2) * np.log(np.maximum(p, LEAST**2) / q) for p, q in cells)
+        self.parent = widest_tree((1 - prior) * shared[0] + prior * shared[1])
+        at, up = np.arange(n), self.parent
+        joint, above = both[:, at, up], rate[:, up]
+        root = at == up
+        # (2 classes, vote of the parent, n)
+        self.rates = np.stack([np.where(root, rate, (rate - joint) / (1 - above)), np.where(root, rate, joint / above)], axis=1).clip(LEAST, 1 - LEAST)
+
+    def posterior(self, fired: np.ndarray) -> np.ndarray:
+        """P(toxic) of votes (rows, n) of 0 and 1."""
+        above = fired[:, self.parent] > 0
+        logit = np.full(len(fired), np.log(self.prior / (1 - self.prior)))
+        for y, side in ((1, 1), (0, -1)):
+            rate = np.where(above, self.rates[y, 1], self.rates[y, 0])
+            logit += side * np.log(np.where(fired > 0, rate, 1 - rate)).sum(axis=1)
+        return sigmoid(logit)
+
+
+def widest_tree(shared: np.ndarray) -> np.ndarray:
+    """Parent of every node in the spanning tree of the largest sum of ``shared``; the root, node 0, is its own."""
+    n = len(shared)
+    parent, best = np.zeros(n, dtype=np.int64), np.array(shared[0], dtype=float)
+    left = np.arange(n) > 0
+    while left.any():
+        at = int(np.where(left, best, -np.inf).argmax())
+        left[at] = False
+        closer = left & (shared[at] > best)
+        parent[closer], best[closer] = at, shared[at][closer]
+    return parent
+
+
+def pair_sums(fired: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(n + 1, n): weighted sightings of two voters firing together, and the weight of all rows."""
+    return np.vstack([(fired * weight[:, None]).T @ fired, np.full(fired.shape[1], weight.sum())])
+
+
+def fit_label_model(patterns: DataFrame, sample_votes: np.ndarray, sample_y: np.ndarray, n: int, prior: float) -> LabelModel:
+    """EM over the vote patterns of all documents.
 
     ``patterns`` has ``votes, n``. Every round is one Spark job that returns
-    sums of at most 2 n (n + 1) numbers a task. The starting rates are those on
+    sums of at most 2 n (n + 1) numbers a task. The first rates are those on
     the labelled sample and stay in as PRIOR_ROWS sightings.
     """
     seen = bits(sample_votes, n)
-    start = np.array([(seen[sample_y == y].sum(axis=0) + 0.5) / ((sample_y == y).sum() + 1) for y in (0, 1)])
-    rates, discount = start.clip(1e-4, 1 - 1e-4), np.ones(n)
+    start = np.stack([(pair_sums(seen[sample_y == y], np.ones((sample_y == y).sum()))[:n] + 0.5 * np.eye(n)) / ((sample_y == y).sum() + 1) for y in (0, 1)])
+    model = LabelModel(start, prior)
     for _ in range(ROUNDS):
 
-        def expect(batches: Iterator[pd.DataFrame], rates=rates, discount=discount, prior=prior) -> Iterator[pd.DataFrame]:
+        def expect(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             total = np.zeros((2, n + 1, n))
             for batch in batches:
                 fired, count = bits(batch["votes"].to_numpy(), n), batch["n"].to_numpy()
-                p = posterior(fired, rates, discount, prior)
-                for y, weight in enumerate(((1 - p) * count, p * count)):
-                    total[y, :n] += (fired * weight[:, None]).T @ fired
-                    total[y, n] += weight.sum()
+                p = model.posterior(fired)
+                total += np.stack([pair_sums(fired, (1 - p) * count), pair_sums(fired, p * count)])
             yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
 
         sums = patterns.mapInPandas(expect, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
@@ -180,18 +216,9 @@ def fit_label_model(patterns: DataFrame, sample_votes: np.ndarray, sample_y: np.
         rows = total[:, n, 0]
         if rows.min() <= 0:
             break
-        fired = np.stack([np.diag(total[y, :n]) for y in (0, 1)])
-        rates = ((fired + PRIOR_ROWS * start) / (rows[:, None] + PRIOR_ROWS)).clip(1e-4, 1 - 1e-4)
-        shared = []
-        for y in (0, 1):
-            p = fired[y] / rows[y]
-            spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
-            shared.append((total[y, :n] / rows[y] - np.outer(p, p)) / np.outer(spread, spread))
-        correlation = np.clip((shared[0] + shared[1]) / 2, 0, 1)
-        np.fill_diagonal(correlation, 0)
-        discount = 1 / (1 + correlation.sum(axis=1))
-        prior = float(np.clip(rows[1] / rows.sum(), prior / 2, min(2 * prior, 0.5)))
-    return rates, discount, prior
+        share = float(np.clip(rows[1] / rows.sum(), model.prior / 2, min(2 * model.prior, 0.5)))
+        model = LabelModel((total[:, :n] + PRIOR_ROWS * start) / (rows + PRIOR_ROWS)[:, None, None], share)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text")
     chosen = stage(training_labels(labels, "toxic", FOLDS, FOLD, TRAIN_ROWS), "toxic-labels")
     known = F.broadcast(chosen)  # at most 2 TRAIN_ROWS rows
-    terms = mine_terms(own.join(known, "doc_id").select("text", "y"))
+    terms = mine_terms(own.join(known, "doc_id"))
     if terms.empty:
         return own.select(doc_id.alias("doc_id"), fold, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     make = own.sparkSession.sparkContext.broadcast(Featurizer(terms))
@@ -220,11 +247,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     features = stage(own.mapInPandas(featurize, "doc_id long, votes long, hits array<int>, measures array<double>"), "toxic-features")
     rate = labels.where(~held_out(F.col("doc_id"), FOLDS, FOLD)).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1
-    fit = features.join(known, "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    # of rows that share an id one is fitted, always the same
+    one = F.min(F.struct("hits", "votes", "measures")).alias("one")
+    fit = features.join(known, "doc_id").groupBy("doc_id", "y").agg(one).select("doc_id", "y", "one.*").orderBy("doc_id").toPandas()
     patterns = stage(features.groupBy("votes").agg(F.count("*").alias("n")), "vote-patterns")
     votes, y = fit["votes"].to_numpy(), fit["y"].to_numpy()
-    rates, discount, prior = fit_label_model(patterns, votes, y, n, float(np.clip(rate, 0.001, 0.5)))
-    soft = posterior(bits(votes, n), rates, discount, prior)
+    soft = fit_label_model(patterns, votes, y, n, float(np.clip(rate, 0.001, 0.5))).posterior(bits(votes, n))
     lengths = fit["hits"].map(len).to_numpy()
     row = np.repeat(np.arange(len(fit)), lengths)
     column = np.concatenate([*fit["hits"], np.empty(0)]).astype(np.int64)
