@@ -283,19 +283,14 @@ def test_quality_rules(spark):
     none = spark.createDataFrame([], labels.schema)
     assert all(r["score"] == 0 for r in quality_rules.quality_rules(docs, none).collect())
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
-    counts = quality_rules.fit_counts(docs, labels)
-    brute = np.zeros((2, quality_rules.BUCKETS))
-    for i, text in enumerate(texts):
-        for b in quality_rules.ngram_buckets(quality_rules.split_words(text or "")):
-            brute[0, b] += 1
-            brute[1, b] += i < 120 and i % 2 == 0
-    assert (counts == brute).all()
 
 
-@pytest.mark.parametrize("part", [10**9, 20_000])
-def test_quality_scores_do_not_weaken_with_the_corpus(spark, monkeypatch, part):
-    """More n-grams than BUCKETS: every score is that of exact counts, and junk is told from prose."""
+@pytest.mark.parametrize("part, hot", [(10**9, 0), (20_000, 1 << 17), (20_000, 50)])
+def test_quality_scores_are_those_of_exact_counts(spark, monkeypatch, part, hot):
+    """Whatever is hot and however many parts there are; trusted rows are broadcast or joined; junk is told from prose."""
     monkeypatch.setattr(quality_rules, "PART", part)
+    monkeypatch.setattr(quality_rules, "HOT", hot)
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", hot)
     monkeypatch.setattr(quality_rules, "HELD", 30_000)
     draw = random.Random(11)
     good = [words(draw, 300, 20000) + " " + words(draw, 100, 60) for _ in range(400)]
@@ -308,7 +303,6 @@ def test_quality_scores_do_not_weaken_with_the_corpus(spark, monkeypatch, part):
     for i, own in enumerate(grams):
         raw.update(own)
         trusted.update(own if i < 400 and i % 2 == 0 else {})
-    assert len(raw) > 2 * quality_rules.BUCKETS
     rows = quality_rules.quality_rules(docs, labels).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:
@@ -325,7 +319,8 @@ def test_all_labelled_good_rows_are_counted(spark):
     n = 45_000
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
-    assert quality_rules.fit_counts(docs, labels).sum(axis=1).tolist() == [n, n]
+    counts = quality_rules.count_hot(quality_rules.with_trust(docs, labels))
+    assert (counts.total_raw, counts.total_good) == (n, n) and counts.raw.tolist() == counts.good.tolist() == [n]
 
 
 # 5 and 9 classifiers

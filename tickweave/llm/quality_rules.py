@@ -7,10 +7,12 @@ count; a document passes at ``THRESHOLD`` or above. The same corpus and labels
 always give the same verdicts.
 
 PRIOR and THRESHOLD are absolute, so n-grams must not share a count, whatever
-the size of the corpus. A corpus of at most ``BUCKETS`` n-grams is counted in
-one table that every task holds. The n-grams of a larger one are dealt by their
-hash to parts of about ``PART`` n-grams with 2^32 hashes each; a part counts
-its n-grams and returns what they add to the score of each document.
+the size of the corpus. The HOT most frequent n-grams, about half of all
+occurrences, are counted in a table that every task holds, and weighed where
+the text is. All others are dealt by their hash to parts of about ``PART``
+n-grams with 2^32 hashes each; a part counts its n-grams and returns the counts
+to their documents. Which n-grams are hot is guessed from a few texts and
+changes no count and no score, only what is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,18 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.blocks import groups
-from tickweave.llm.common import hide_null, show_null, stage, table, word_count
+from tickweave.llm.common import hide_null, show_null, stage, table
 from tickweave.llm.ngram_join import mix64
 
-#: Buckets of the table for a corpus that has no more n-grams.
-BUCKETS = 1 << 16
-#: N-grams that one part of a larger corpus counts at a time.
-PART = 2_000_000
+#: N-grams that every task holds, and rows in which they are looked for.
+HOT, HOT_ROWS = 1 << 18, 5000
+#: Hot n-grams whose counts travel together.
+CHUNK = 1 << 14
+#: N-grams that one part counts at a time.
+PART = 1_000_000
 #: Parts at least, so that small corpora are counted by many tasks as well.
 PARTS = 32
 #: N-grams that a task gathers before it deals them.
 HELD = 2_000_000
-#: Occurrences that each bucket is given on both sides, so that a few sightings of a rare n-gram say little.
+#: Labelled rows (16 bytes each) that are broadcast to the texts; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
+#: Occurrences that each n-gram is given on both sides, so that a few sightings of a rare one say little.
 PRIOR = 5.0
 #: A mean log ratio below this is nearer to the raw corpus than to the trusted text.
 THRESHOLD = -0.1
@@ -63,11 +70,6 @@ def ngram_keys(words: list[bytes]) -> np.ndarray:
     return np.concatenate([one, two])
 
 
-def ngram_buckets(words: list[bytes]) -> np.ndarray:
-    """Bucket of every word, then of every pair of neighbours."""
-    return (ngram_keys(words) & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words inside a window of three that occurs twice or more, first occurrences included."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -99,113 +101,154 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     )
 
 
-def trusted_ids(labels: DataFrame) -> np.ndarray:
-    """Sorted ids of all rows labelled good.
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``row`` (by row_hash), ``trusted`` and ``text`` of every document; all rows labelled good are trusted."""
+    named = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = stage(named.withColumn("trusted", F.lit(True)), "trusted")
+    if good.count() <= MOST_BROADCAST:
+        good = F.broadcast(good)
+    rows = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), row_hash().alias("row"), "text").join(good, "doc_id", "left")
+    return rows.select("row", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
 
-    Eight bytes each come to the driver and go to the tasks, so that no text is
-    shuffled to its label.
-    """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return np.sort(good.toArrow().column("doc_id").to_numpy())
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """SLICE rows at a time with the hashes of their texts' n-grams."""
+    for batch in batches:
+        for begin in range(0, len(batch), SLICE):
+            part = batch.iloc[begin : begin + SLICE]
+            yield part, [ngram_keys(split_words(text or "")) for text in part["text"]]
+
+
+def hot_keys(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the HOT most frequent n-grams of about HOT_ROWS rows, which a hash of the row chooses."""
+    share = HOT_ROWS / max(rows.count(), 1)
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "row"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, found in slices(batches):
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
+
+    sums = some.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = sums.where("n > 1").orderBy(F.desc("n"), "key").limit(HOT).select("key")
+    return np.sort(top.toArrow().column("key").to_numpy().view(np.uint64))
 
-def among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which ids are in the sorted ``known``."""
+
+def among(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in the sorted ``known``, and where."""
     if not len(known):
-        return np.zeros(len(ids), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
 
 
-def fit_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Raw and trusted count of every bucket, over all documents and all of those labelled good.
+class Counts(NamedTuple):
+    """Hot n-grams with their raw and trusted counts, and the counts of all n-grams, hot or not."""
 
-    A task sends one row for each bucket at most, and only the sums come to the
-    driver.
-    """
+    keys: np.ndarray
+    raw: np.ndarray
+    good: np.ndarray
+    total_raw: float
+    total_good: float
 
-    good = docs.sparkSession.sparkContext.broadcast(trusted_ids(labels))
+    def adds(self, own: np.ndarray, raw: np.ndarray, good: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """What n-grams add to the sum of log (trusted count / count that the raw corpus lets expect) of their document.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, BUCKETS), dtype=np.int64)
-        for batch in batches:
-            trusted = among(batch["doc_id"].to_numpy(), good.value)
-            for begin in range(0, len(batch), SLICE):
-                found = [ngram_buckets(split_words(text or "")) for text in batch["text"].iloc[begin : begin + SLICE]]
-                for row, part in ((0, found), (1, [f for f, t in zip(found, trusted[begin : begin + SLICE]) if t])):
-                    if part:
-                        total[row] += np.bincount(np.concatenate(part), minlength=BUCKETS)
-        used = np.flatnonzero(total[0])
-        yield pd.DataFrame({"bucket": used, "raw": total[0, used], "good": total[1, used]})
-
-    rows = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text")
-    sums = rows.mapInPandas(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    counts = np.zeros((2, BUCKETS))
-    counts[:, sums["bucket"]] = sums[["raw", "good"]].to_numpy(dtype=float).T
-    return counts
-
-
-def score_text(words: list[bytes], counts: np.ndarray, totals: tuple[float, float]) -> float:
-    """Mean over the n-grams of log (trusted count / count that the raw corpus lets expect).
-
-    The document's own n-grams are taken out of the raw counts first, else a
-    text would speak against itself by being in the raw corpus. 0 without
-    words or without trusted text.
-    """
-    buckets = ngram_buckets(words)
-    raw, trusted = totals
-    if not len(buckets) or not trusted or raw <= len(buckets):
-        return 0.0
-    seen, own = np.unique(buckets, return_counts=True)
-    expected = np.maximum(counts[0, seen] - own, 0) * (trusted / (raw - len(buckets)))
-    ratio = np.log(counts[1, seen] + PRIOR) - np.log(expected + PRIOR)
-    return float((own * ratio).sum() / len(buckets))
+        ``own`` of the ``raw`` sightings are the document's; they are taken out
+        first, else a text would speak against itself by being in the corpus.
+        """
+        with np.errstate(divide="ignore", invalid="ignore"):
+            expected = (raw - own) * (self.total_good / (self.total_raw - length))
+            return np.where(self.total_raw > length, own * (np.log(good + PRIOR) - np.log(expected + PRIOR)), 0.0)
 
 
 def pack(numbers: np.ndarray) -> bytes:
     """Whole numbers, compressed in the narrowest type that holds them, whose letter stands first."""
     kind = np.min_scalar_type(numbers.max(initial=0))
-    return kind.char.encode() + zlib.compress(numbers.astype(kind).tobytes(), 1)
+    return kind.char.encode() + zlib.compress(numbers.astype(kind).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), data[:1].decode()).astype(np.int64)
 
 
-DEALT = "part long, batch long, n_docs long, n_trusted long, keys binary, doc binary, own binary, length binary, row binary"
+def count_hot(rows: DataFrame) -> Counts:
+    """Counts over all rows: a task sends the counts of the hot n-grams, and only their sums come to the driver."""
+    hot = hot_keys(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        # all n-grams in the last column
+        total = np.zeros((2, len(known) + 1), dtype=np.int64)
+        for part, found in slices(batches):
+            keys = np.concatenate(found)
+            trusted = np.repeat(part["trusted"].to_numpy(), [len(f) for f in found])
+            hit, at = among(keys, known)
+            for side, here in enumerate((hit, hit & trusted)):
+                total[side, :-1] += np.bincount(at[here], minlength=len(known))
+            total[:, -1] += len(keys), trusted.sum()
+        for begin in range(0, total.shape[1], CHUNK):
+            raw, good = total[:, begin : begin + CHUNK]
+            yield pd.DataFrame({"begin": [begin], "raw": [pack(raw)], "good": [pack(good)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for begin, raw, good in zip(batch["begin"], batch["raw"], batch["good"]):
+                sums[begin] = sums.get(begin, 0) + np.stack([unpack(raw), unpack(good)])
+        for begin, (raw, good) in sums.items():
+            yield pd.DataFrame({"begin": [begin], "raw": [pack(raw)], "good": [pack(good)]})
 
+    form = "begin long, raw binary, good binary"
+    sums = rows.mapInPandas(count, form).repartition("begin").mapInPandas(add, form).toPandas().sort_values("begin")
+    none = np.zeros(len(hot) + 1, dtype=np.int64)
+    raw, good = (np.concatenate([unpack(x) for x in sums[c]]).astype(float) if len(sums) else none for c in ("raw", "good"))
+    return Counts(hot, raw[:-1], good[:-1], float(raw[-1]), float(good[-1]))
 
-def deal(parts: int, good: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Cuts the n-grams of a batch of documents, each once a document with its count, by their hash into ``parts``.
 
-    One more record holds the documents' row hashes. Trusted documents come
-    first, so their number tells which they are.
+DEALT = "part long, batch long, n_docs long, n_trusted long, keys binary, doc binary, own binary, row binary, length binary, sums binary"
+COUNTED = "batch long, doc binary, own binary, others binary, good binary, row binary, length binary, sums binary"
+
+
+def deal(parts: int, shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Weighs the hot n-grams of a batch of documents and cuts the others, each once a document with its count, by their hash into ``parts``.
+
+    One more record holds the documents' row hashes and what their hot n-grams
+    add up to. Trusted documents come first, so their number tells which they are.
     """
 
     def cut(texts: list[tuple], batch: int) -> pd.DataFrame:
         texts.sort(key=lambda x: not x[1])
-        sizes = [len(keys) for _, _, keys, _, _ in texts]
-        doc, length = np.repeat(np.arange(len(texts)), sizes), np.array([n for *_, n in texts], dtype=np.int64)
+        sizes = [len(keys) for _, _, keys, *_ in texts]
+        doc, length = np.repeat(np.arange(len(texts)), sizes), np.array([x[4] for x in texts], dtype=np.int64)
         keys, own = np.concatenate([x[2] for x in texts]), np.concatenate([x[3] for x in texts])
         part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         known = (batch, len(texts), sum(x[1] for x in texts))
-        out = [(batch % parts, *known, None, None, None, pack(length), np.array([x[0] for x in texts], dtype="<i8").tobytes())]
+        sums = np.array([x[5] for x in texts], dtype="<f8").tobytes()
+        out = [(batch % parts, *known, None, None, None, np.array([x[0] for x in texts], dtype="<i8").tobytes(), pack(length), sums)]
         for p in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[p] : bounds[p + 1]]
             # the hash within its part, spread over 32 bits
             low = (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            out.append((int(p), *known, low.tobytes(), pack(np.diff(doc[at], prepend=0)), pack(own[at]), pack(length[doc[at]]), None))
+            out.append((int(p), *known, low.tobytes(), pack(np.diff(doc[at], prepend=0)), pack(own[at]), None, None, None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DEALT.split(", ")])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
         texts, held, n = [], 0, 0
         first = TaskContext.get().partitionId() << 32
         for frame in batches:
-            for row, trusted, text in zip(frame["row"], among(frame["doc_id"].to_numpy(), good.value), frame["text"]):
+            for row, trusted, text in zip(frame["row"], frame["trusted"], frame["text"]):
                 found = ngram_keys(split_words(text or ""))
                 if len(found):
-                    texts.append((row, bool(trusted), *np.unique(found, return_counts=True), len(found)))
+                    keys, own = np.unique(found, return_counts=True)
+                    hit, at = among(keys, counts.keys)
+                    at = at[hit]
+                    known = counts.adds(own[hit], counts.raw[at], counts.good[at], len(found)).sum()
+                    texts.append((row, bool(trusted), keys[~hit], own[~hit], len(found), known))
                     held += len(texts[-1][2])
                 if held >= HELD:
                     yield cut(texts, first + n)
@@ -216,64 +259,46 @@ def deal(parts: int, good: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iter
     return apply
 
 
-def weigh(totals: tuple[float, float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Counts the n-grams of each part and sums what they add to each document, as score_text defines it."""
-    raw, trusted = totals
+def count_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts the n-grams of each part and sends every document the counts of its own: sightings in other documents, and trusted ones.
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for frame in groups(batches, ["part"]):
-            for named in frame[frame["row"].notna()].itertuples():
-                yield pd.DataFrame({"batch": [named.batch], "row": [named.row], "length": [named.length], "sums": [None]})
-            pieces = frame[frame["row"].isna()]
-            if not len(pieces):
-                continue
+    An n-gram that stands in no other document and in no trusted one adds nothing and stays.
+    """
+    for frame in groups(batches, ["part"]):
+        names = frame[frame["row"].notna()]
+        if len(names):
+            yield names.reindex(columns=[c.split()[0] for c in COUNTED.split(", ")])
+        pieces = frame[frame["row"].isna()]
+        if len(pieces):
             keys = np.concatenate([np.frombuffer(x, "<u4") for x in pieces["keys"]])
             docs = [np.cumsum(unpack(x)) for x in pieces["doc"]]
-            good = np.concatenate([doc < n for doc, n in zip(docs, pieces["n_trusted"])])
-            own, length = (np.concatenate([unpack(x) for x in pieces[c]]) for c in ("own", "length"))
+            own = np.concatenate([unpack(x) for x in pieces["own"]])
+            trusted = np.concatenate([doc < n for doc, n in zip(docs, pieces["n_trusted"])])
             _, at = np.unique(keys, return_inverse=True)
-            others = np.bincount(at, own)[at] - own
-            with np.errstate(divide="ignore", invalid="ignore"):
-                expected = others * (trusted / (raw - length))
-                adds = np.where(raw > length, own * (np.log(np.bincount(at, own * good)[at] + PRIOR) - np.log(expected + PRIOR)), 0.0)
+            others = np.bincount(at, own)[at].astype(np.int64) - own
+            good = np.bincount(at, own * trusted)[at].astype(np.int64)
             begin = 0
-            for batch, n, doc in zip(pieces["batch"], pieces["n_docs"], docs):
-                sums[batch] = sums.get(batch, 0.0) + np.bincount(doc, adds[begin : begin + len(doc)], minlength=n)
+            for batch, doc in zip(pieces["batch"], docs):
+                here = slice(begin, begin + len(doc))
                 begin += len(doc)
-        for batch, total in sums.items():
-            yield pd.DataFrame({"batch": [batch], "row": [None], "length": [None], "sums": [total.astype("<f8").tobytes()]})
-
-    return apply
-
+                told = (others[here] > 0) | (good[here] > 0)
+                back = [pack(np.diff(doc[told], prepend=0)), *(pack(x[here][told]) for x in (own, others, good))]
+                yield pd.DataFrame([(batch, *back, None, None, None)], columns=[c.split()[0] for c in COUNTED.split(", ")])
 
-def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Score of every row hash of a batch from the sums of its parts."""
-    for frame in groups(batches, ["batch"]):
-        named = frame[frame["row"].notna()].iloc[0]
-        total = np.sum([np.frombuffer(x, "<f8") for x in frame["sums"] if x is not None], axis=0)
-        yield pd.DataFrame({"row": np.frombuffer(named["row"], "<i8"), "score": total / unpack(named["length"])})
 
+def add_up(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Score of every row hash of a batch from its hot n-grams' sums and the counts of the others."""
 
-def dealt_scores(rows: DataFrame, good: np.ndarray, totals: tuple[float, float]) -> DataFrame:
-    """``row, score`` of the texts with words; no count is held by a task beyond its part."""
-    parts = max(PARTS, math.ceil(totals[0] / PART))
-    shared = rows.sparkSession.sparkContext.broadcast(good)
-    dealt = rows.mapInPandas(deal(parts, shared), DEALT).repartition("part").sortWithinPartitions("part")
-    summed = dealt.mapInPandas(weigh(totals), "batch long, row binary, length binary, sums binary").repartition("batch").sortWithinPartitions("batch")
-    return summed.mapInPandas(add_up, "row long, score double")
-
-
-def table_scores(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``row, score`` of every text by one table of counts."""
-    totals = (float(counts[0].sum()), float(counts[1].sum()))
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"row": batch["row"], "score": [score_text(split_words(text or ""), shared.value, totals) for text in batch["text"]]})
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in groups(batches, ["batch"]):
+            named = frame[frame["row"].notna()].iloc[0]
+            length, total = unpack(named["length"]), np.frombuffer(named["sums"], "<f8").copy()
+            for piece in frame[frame["row"].isna()].itertuples():
+                doc, own, others, good = np.cumsum(unpack(piece.doc)), *(unpack(x) for x in (piece.own, piece.others, piece.good))
+                total += np.bincount(doc, shared.value.adds(own, own + others, good, length[doc]), minlength=len(total))
+            yield pd.DataFrame({"row": np.frombuffer(named["row"], "<i8"), "score": total / length})
 
-    return rows.select("row", "text").mapInPandas(score, "row long, score double")
+    return apply
 
 
 def row_hash() -> Column:
@@ -282,19 +307,16 @@ def row_hash() -> Column:
 
 
 def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``row`` (by row_hash) and ``score``, once each; texts without words may be absent and score 0."""
-    rows = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), row_hash().alias("row"), "text")
-    n = F.greatest(2 * word_count(F.col("text")) - 1, F.lit(0)).alias("n")
-    counted = stage(rows.select("doc_id", n), "ngrams")
-    named = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    raw, trusted = (x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (counted, counted.join(named, "doc_id", "left_semi")))
-    if not trusted:
-        scores = docs.sparkSession.createDataFrame([], "row long, score double")
-    elif raw <= BUCKETS:
-        scores = table_scores(rows, fit_counts(docs, labels))
-    else:
-        scores = dealt_scores(rows, trusted_ids(labels), (float(raw), float(trusted)))
-    return stage(scores.groupBy("row").agg(F.min("score").alias("score")), "scores")
+    """``row`` (by row_hash) and ``score``, once each; texts without words may be absent and score 0, as all do without trusted text."""
+    rows = with_trust(docs, labels)
+    counts = count_hot(rows)
+    if not counts.total_good:
+        return docs.sparkSession.createDataFrame([], "row long, score double")
+    parts = max(PARTS, math.ceil((counts.total_raw - counts.raw.sum()) / PART))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    dealt = rows.mapInPandas(deal(parts, shared), DEALT).repartition("part").sortWithinPartitions("part")
+    counted = dealt.mapInPandas(count_part, COUNTED).repartition("batch").sortWithinPartitions("batch")
+    return stage(counted.mapInPandas(add_up(shared), "row long, score double").groupBy("row").agg(F.min("score").alias("score")), "scores")
 
 
 def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
