@@ -543,3 +543,48 @@ def test_place(spark, tmp_path):
     assert sharding.place(docs.limit(0), "doc_id", ["a"]).count() == 0
     sharding.write_shards(out, str(tmp_path / "out"), 2, "doc_id")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 502
+
+
+# rows that share an id with unlike content
+
+
+def test_join_of_repeated_ids(spark):
+    draw = random.Random(21)
+    a, b, alone = words(draw, 60, 9000), words(draw, 60, 9000), words(draw, 60, 9000)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, alone), (4, None)], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in ngram_join.ngram_join(docs).collect())
+    assert out == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True)]
+    kept = ngram_join.keep_one(docs.unionByName(docs).selectExpr("*", "7 AS version", "8 AS doc"))
+    assert kept.columns == ["doc_id", "text", "version", "doc"]
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(1, a), (1, b), (4, alone), (4, "")])
+
+
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01])]
+    out = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+# hostile pages
+
+
+def old_lines(html):
+    """The definition, step by step."""
+    text = re.sub(r"(?is)<script\b.*?(?:</script>|\Z)|<style\b.*?(?:</style>|\Z)|<!--.*?(?:-->|\Z)", "", html)
+    text = re.sub(r"<[^>]*>", "", re.sub(line_dedup.BREAK, "\n", text))
+    return [x.strip(" ") for x in text.split("\n") if x.strip(" ")]
+
+
+def test_pages_with_unclosed_tags(spark):
+    import time
+
+    draw = random.Random(5)
+    parts = ["<p>", "<p ", "<b ", "<", ">", "a", " b\n", "</script>", "<script x>", "<!--", "-->", "<style>", "</p>", "<br/>"]
+    pages = ["".join(draw.choice(parts) for _ in range(draw.randrange(25))) for _ in range(300)]
+    huge = [x * 16_000 for x in ("<script ", "<!-- ", "<b ", "<p ", "<", "<b <p>")]
+    rows = [(i, p) for i, p in enumerate(pages + huge)]
+    df = spark.createDataFrame(rows, "i int, html string")
+    began = time.time()
+    got = {r["i"]: r["lines"] for r in df.select("i", line_dedup.html_lines(F.col("html")).alias("lines")).collect()}
+    assert time.time() - began < 20
+    assert all(got[i] == old_lines(p) for i, p in enumerate(pages))

@@ -186,16 +186,18 @@ def embedding_dedup(embeddings: DataFrame) -> DataFrame:
     ``component_id`` is the smallest vec_id reached by links, ``kept`` whether
     it is the row's own. Null, zero and non-finite vectors link with nothing;
     vectors of different lengths do not either. Rows without vec_id link with
-    nothing and have a null component (kept). Repeated rows count. Other
-    columns, labels among them, are not read.
+    nothing and have a null component (kept). Repeated rows count; rows that
+    share a vec_id with unlike vectors each have the links of their own.
+    Other columns, labels among them, are not read.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     fine = usable(F.col("vector")) & F.col("vec_id").isNotNull()
     hashed = rows.where(fine).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit(1), "vector"))
-    distinct = hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    distinct = stage(distinct, "vectors")
+    distinct = hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    # a number for each vector, fixed by writing it, as ids may repeat with unlike vectors
+    distinct = stage(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
-    placed = distinct.mapInPandas(assign, "rep long, copies long, vector array<double>, dimension int, code binary, factor double, buckets array<long>")
+    placed = distinct.select("rep", "copies", "vector").mapInPandas(assign, "rep long, copies long, vector array<double>, dimension int, code binary, factor double, buckets array<long>")
     placed = stage(placed.withColumn("vector", F.col("vector").cast(embeddings.schema["embedding"].dataType)), "buckets")
     group = ["dimension", "turn", "bucket"]
     spots = placed.select("rep", "dimension", F.posexplode("buckets").alias("turn", "bucket"))
@@ -208,11 +210,13 @@ def embedding_dedup(embeddings: DataFrame) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     per_vector = stage(distinct.drop("vector").join(links, "rep", "left").join(roots, "rep", "left"), "vector-links")
+    names = per_vector.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("least").alias("first"))
+    per_vector = per_vector.join(names, "component_id", "left")
     own = hashed.select("vec_id", "k1", "k2").join(per_vector, ["k1", "k2"])
     linked = own.select(
         "vec_id",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("component_id", "rep").alias("component_id"),
+        F.coalesce("first", "least").alias("component_id"),
     )
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -87,11 +87,11 @@ def band_hashes(sets: np.ndarray) -> np.ndarray:
 def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for doc_id, version, text in zip(batch["doc_id"], batch["version"], batch["text"]):
             own = shingles(text)
             key = hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest()
-            out.append((doc_id, key, len(own), band_hashes(own) if len(own) else None))
-        yield pd.DataFrame(out, columns=["doc_id", "key", "n_shingles", "bands"])
+            out.append((doc_id, version, key, len(own), band_hashes(own) if len(own) else None))
+        yield pd.DataFrame(out, columns=["doc_id", "version", "key", "n_shingles", "bands"])
 
 
 def jaccard_links(left: list[np.ndarray], cross: np.ndarray) -> np.ndarray:
@@ -126,55 +126,79 @@ def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield link_rows(jaccard_links([shingles(t) for t in block["text"]], cross), ids, weights)
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, version, class_id, n_links, component_id, first`` of every row with a doc_id.
 
-    ``class_id`` is the smallest doc_id with the same shingle set, ``n_links``
-    the number of other documents at a Jaccard similarity of 0.8 or more,
-    ``component_id`` the smallest doc_id reached by links, ``kept`` whether it
-    is the document itself. Texts without words link with nothing, and so do
-    rows without doc_id (null class and component, kept). Rows repeated in the
-    table count as documents. Other columns are not read.
+    ``version`` is a hash of the text, so rows that share an id with unlike
+    texts stay apart; ``first`` is the least (doc_id, version) of the group.
     """
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(ids.mapInPandas(sign, "doc_id long, key string, n_shingles long, bands array<long>"), "signatures")
+    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    signed = stage(ids.mapInPandas(sign, "doc_id long, version long, key string, n_shingles long, bands array<long>"), "signatures")
     some = signed.where("n_shingles > 0")
-    classes = stage(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    member = F.struct("doc_id", "version")
+    classes = some.groupBy("key").agg(F.min(member).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # a number for each class, fixed by writing it
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     meeting = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     candidates = banded.join(meeting, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     grouped = stage(components(candidates).select(F.col("id").alias("rep"), F.col("component_id").alias("cid")), "candidates")
 
-    members = grouped.join(classes.select("rep", "copies"), "rep")
+    members = grouped.join(classes.select("rep", "copies", "least.*"), "rep")
     sizes = grouped.groupBy("cid").agg(F.count("*").alias("n"))
     dealt = stage(deal_blocks(members, sizes, ["cid"], "rep", BLOCK), "blocks")
-    texts = ids.join(grouped.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    work = dealt.join(texts, dealt["rep"] == texts["doc_id"]).select("cid", "bi", "bj", "part", "rep", "copies", "text")
+    shown = members.select("doc_id", "version")
+    texts = ids.join(shown, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    work = dealt.join(texts, ["doc_id", "version"]).select("cid", "bi", "bj", "part", "rep", "copies", "text")
     work = work.repartition("cid", "bi", "bj").sortWithinPartitions("cid", "bi", "bj")
     found = stage(work.mapInPandas(verify, "id long, links long, root long"), "verified")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    per_class = stage(classes.select("key", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left"), "class-links")
-
-    own = signed.select("doc_id", "key", "n_shingles").join(per_class, "key", "left")
-    linked = own.select(
-        "doc_id",
-        F.coalesce("rep", "doc_id").alias("class_id"),
+    per_class = stage(classes.drop("bands").join(links, "rep", "left").join(roots, "rep", "left"), "class-links")
+    firsts = per_class.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("least").alias("first"))
+    per_class = per_class.join(firsts, "component_id", "left").select("key", "copies", "links", "least", F.coalesce("first", "least").alias("first"))
+
+    own = signed.drop("bands").join(per_class, "key", "left")
+    return own.select(
+        "doc_id", "version",
+        F.coalesce("least.doc_id", "doc_id").alias("class_id"),
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("component_id", "rep", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+        F.coalesce("first", member).alias("first"),
+    )
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+
+    ``class_id`` is the smallest doc_id with the same shingle set, ``n_links``
+    the number of other documents at a Jaccard similarity of 0.8 or more,
+    ``component_id`` the smallest doc_id reached by links, ``kept`` whether it
+    is the document itself. Texts without words link with nothing, and so do
+    rows without doc_id (null class and component, kept). Rows repeated in the
+    table count as documents; of rows that share a doc_id with unlike texts
+    each has the links of its own text, and if they are of one group, one of
+    them is kept. Other columns are not read.
+    """
+    linked = linked_rows(docs).select("doc_id", "class_id", "n_links", "component_id", (F.struct("doc_id", "version") == F.col("first")).alias("kept"))
     none = F.lit(None).cast("long")
     unnamed = docs.where(F.col("doc_id").isNull()).select(none.alias("doc_id"), none.alias("class_id"), F.lit(0).cast("long").alias("n_links"), none.alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(unnamed)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id; same columns, rows without doc_id stay."""
-    kept = stage(ngram_join(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near copies, that with the smallest doc_id; same columns.
+
+    Rows without doc_id stay, and so does one row of each text without words.
+    Rows that share a doc_id with unlike texts are documents of their own.
+    """
+    kept = stage(linked_rows(docs).where(F.struct("doc_id", "version") == F.col("first")).select("doc_id", "version").distinct(), "kept")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    named = docs.where(F.col("doc_id").isNotNull()).select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"))
+    named = named.join(kept, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    return named.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,8 +27,10 @@ LENGTH = 4096
 END_ID = 2
 DIMENSIONS, BITS = 4, 10
 BUCKETS = 1024
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 700_000
+#: Bytes of words and their ids that a Python worker remembers, and what a remembered word costs besides.
+REMEMBERED, ENTRY = 48 << 20, 170
+#: Words that are encoded at once: the encodings take far more room than their ids.
+AT_ONCE = 5000
 
 _random = np.random.Generator(np.random.PCG64(7))
 PROJECTION = _random.choice(np.array([-1.0, 1.0]), size=(BUCKETS, DIMENSIONS))
@@ -40,6 +42,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Known(dict):
+    """Ids by word: the remembered words, and ``fresh`` ones that are looked up here for one call only."""
+
+    fresh: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.fresh[word]
+
+
 class WordTokenizer:
     """Ids of whole texts by way of their words.
 
@@ -51,7 +62,7 @@ class WordTokenizer:
     token are left as they are.
     """
 
-    MARKS = re.compile(rb"([A-Za-z])([.,;:!?*%$#&])")
+    MARKS = re.compile(rb"[.,;:!?*%$#&](?<=[A-Za-z].)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,34 +77,43 @@ class WordTokenizer:
         self.lower = any(x["type"] == "Lowercase" for x in (made["normalizer"] or {}).get("normalizers", []))
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.type = f"<u{array(self.code).itemsize}"
-        self.known: dict[bytes, bytes] = {}
+        self.known, self.held = Known(), 0
+        self.met = bytearray(1 << 22)
 
     def words(self, text: str | None) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass") if text else b""
         if self.lower and b"<|" not in raw:
             raw = raw.lower()
-        return self.MARKS.sub(rb"\1 \2", raw).split()
+        return self.MARKS.sub(rb" \g<0>", raw).split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.words(text) for text in texts]
-        used = set().union(*split)
-        new = list(used.difference(self.known))
-        here = self.known
-        if new:
-            coded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-            found = {word: array(self.code, code.ids).tobytes() for word, code in zip(new, coded)}
-            if len(self.known) + len(found) <= REMEMBERED:
-                self.known.update(found)
-            else:
-                here = {word: self.known[word] for word in used.intersection(self.known)} | found
-        end = array(self.code, [END_ID]).tobytes()
-        return [np.frombuffer(b"".join([here[word] for word in words]) + end, dtype=self.type) for words in split]
+        new = list(set().union(*split).difference(self.known))
+        fresh = {}
+        for begin in range(0, len(new), AT_ONCE):
+            part = new[begin : begin + AT_ONCE]
+            coded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in part], add_special_tokens=False)
+            fresh.update(zip(part, (array(self.code, code.ids).tobytes() for code in coded)))
+        if self.held < REMEMBERED:
+            for word, ids in fresh.items():
+                # a word is remembered when it is met again, as most never are
+                place = hash(word) & 0x3FFFFF
+                if self.met[place]:
+                    self.known[word] = ids
+                    self.held += len(word) + len(ids) + ENTRY
+                self.met[place] = 1
+        self.known.fresh = fresh
+        end, known = array(self.code, [END_ID]).tobytes(), self.known.__getitem__
+        coded = [np.frombuffer(b"".join(map(known, words)) + end, dtype=self.type) for words in split]
+        self.known.fresh = {}
+        return coded
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer a Python worker, which remembers REMEMBERED bytes at most from task to task."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
