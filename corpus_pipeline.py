@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 rows that its predecessor kept. All but the last return the columns of
-``documents``.
+``documents``, and columns beside these pass through whatever their names.
+Null and empty texts fail the quality rules; null ids and sources stay null;
+rows repeated whole are one document after the join; rows that share an id with
+unlike texts are documents of their own; an empty table gives an empty corpus.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of fixed length; the checksum stands for the ids."""
+    """Pieces of the documents in sequences of fixed length, with their ids (little-endian, 32 bits) and a checksum."""
     pieces = packing.pack(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [
