@@ -42,7 +42,7 @@ def whole_division(value: Column, by: int) -> Column:
 
 
 #: Microseconds of the units that series are cut into.
-UNITS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+UNITS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000, "quarter": 91 * 86_400_000_000}
 
 
 def bucket(ts: Column, unit: str = "day") -> Column:

@@ -15,7 +15,8 @@ def _carried(rows: DataFrame, keys: list[str], order: list[str], values: list[st
     if unit is None:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return rows.withColumns({v: F.last(v, True).over(window) for v in values})
-    cut = rows.withColumn(BUCKET, bucket_of(F.col(order[0]), unit))
+    # one exchange serves both the windows and the last rows of the buckets
+    cut = rows.withColumn(BUCKET, bucket_of(F.col(order[0]), unit)).repartition(*keys, BUCKET)
     window = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = cut.withColumns({v: F.last(v, True).over(window) for v in values})
     rank = F.struct(*order)

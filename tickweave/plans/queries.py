@@ -127,7 +127,7 @@ def _daily(spark, d) -> DataFrame:
 @query(f"""SELECT p.user_id, p.ts, e.ts AS cursor_ts FROM {DAILY} p
     ASOF LEFT JOIN (SELECT user_id, ts FROM events) e ON p.user_id = e.user_id AND p.ts >= e.ts""")
 def cursor_timestamp(spark, d):
-    out = align.asof(user_events(spark, d), _daily(spark, d), ["user_id"], "ts", EVENT_TYPES, ["seq"], stamps=True)
+    out = align.asof(user_events(spark, d), _daily(spark, d), ["user_id"], "ts", EVENT_TYPES, ["seq"], stamps=True, unit="quarter")
     return out.select("user_id", "ts", align.cursor_time([f"{t}__ts" for t in EVENT_TYPES]).alias("cursor_ts"))
 
 
@@ -140,7 +140,7 @@ def typed_defaults(spark, d):
         F.col("event_id").alias("v_long"), F.col("event_type").alias("v_string"),
     )
     kinds = {"v_double": "double", "v_int": "int", "v_long": "long", "v_string": "string"}
-    out = align.asof(ticks, _daily(spark, d), ["user_id"], "ts", list(kinds), ["seq"])
+    out = align.asof(ticks, _daily(spark, d), ["user_id"], "ts", list(kinds), ["seq"], unit="quarter")
     out = out.withColumns({c: types.with_default(F.col(c), k) for c, k in kinds.items()})
     return out.select("user_id", "ts", F.isnan("v_double").alias("double_is_nan"), "v_int", "v_long", "v_string")
 
