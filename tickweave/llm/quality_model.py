@@ -22,8 +22,8 @@ from tickweave.llm.common import hide_null, show_null, stage, table
 from tickweave.llm.training import Adam, held_out, sigmoid, training_labels
 
 FOLDS, FOLD = 4, 2
-#: Labelled rows of each class that the model is fitted on, and passages, evenly spread, that training reads of each.
-TRAIN_ROWS, TRAIN_PASSAGES = 3000, 32
+#: Labelled rows of each class that the model is fitted on, with all their passages.
+TRAIN_ROWS = 3000
 PASSAGE = 128
 SHAPES, WORDS, MEASURES = 64, 32, 8
 WIDTH = SHAPES + WORDS + MEASURES
@@ -148,10 +148,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags = [encode(text) for text in batch["text"]]
-            bags = [bag[np.unique(np.linspace(0, len(bag) - 1, TRAIN_PASSAGES).astype(int))] for bag in bags]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "bag": [bag.tobytes() for bag in bags]})
 
-    known = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 TRAIN_ROWS rows
+    # at most 2 TRAIN_ROWS rows; of rows that share an id one is fitted, always the same
+    known = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     fit = stage(known.mapInPandas(sample, "doc_id long, y int, bag binary"), "quality-sample").orderBy("doc_id").toPandas()
     y = fit["y"].to_numpy(dtype=float)
     if not 0 < y.sum() < len(y):
