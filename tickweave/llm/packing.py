@@ -28,9 +28,9 @@ END_ID = 2
 DIMENSIONS, BITS = 4, 10
 BUCKETS = 1024
 #: Bytes of words and their ids that a Python worker remembers, and what a remembered word costs besides.
-REMEMBERED, ENTRY = 48 << 20, 170
-#: Words that are encoded at once: the encodings take far more room than their ids.
-AT_ONCE = 5000
+REMEMBERED, ENTRY = 64 << 20, 170
+#: Words that are encoded at once: encodings take far more room than their ids.
+AT_ONCE = 1000
 
 _random = np.random.Generator(np.random.PCG64(7))
 PROJECTION = _random.choice(np.array([-1.0, 1.0]), size=(BUCKETS, DIMENSIONS))
@@ -77,6 +77,8 @@ class WordTokenizer:
         self.lower = any(x["type"] == "Lowercase" for x in (made["normalizer"] or {}).get("normalizers", []))
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.type = f"<u{array(self.code).itemsize}"
+        special = [(t["content"], t["id"]) for t in made.get("added_tokens", []) if t["special"] and t["content"].startswith("<|")]
+        self.between = special[-1] if special else None
         self.known, self.held = Known(), 0
         self.met = bytearray(1 << 22)
 
@@ -86,14 +88,23 @@ class WordTokenizer:
             raw = raw.lower()
         return self.MARKS.sub(rb" \g<0>", raw).split()
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of every word; of all words at once, with a special token between, where none holds one itself."""
+        if not self.between or any("<|" in word for word in words):
+            return [array(self.code, code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        name, stop = self.between
+        ids = np.array(self.tokenizer.encode_batch_fast([name.join(words)], add_special_tokens=False)[0].ids, dtype=self.type)
+        ends = [*np.flatnonzero(ids == stop).tolist(), len(ids)]
+        raw, size = ids.tobytes(), ids.itemsize
+        return [raw[begin * size : end * size] for begin, end in zip([0, *(end + 1 for end in ends)], ends)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.words(text) for text in texts]
         new = list(set().union(*split).difference(self.known))
         fresh = {}
         for begin in range(0, len(new), AT_ONCE):
             part = new[begin : begin + AT_ONCE]
-            coded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in part], add_special_tokens=False)
-            fresh.update(zip(part, (array(self.code, code.ids).tobytes() for code in coded)))
+            fresh.update(zip(part, self.encode_words([word.decode("utf-8", "replace") for word in part])))
         if self.held < REMEMBERED:
             for word, ids in fresh.items():
                 # a word is remembered when it is met again, as most never are

@@ -42,7 +42,7 @@ PART = 1_000_000
 #: Parts at least, so that small corpora are counted by many tasks as well.
 PARTS = 32
 #: N-grams that a task gathers before it deals them.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Labelled rows (16 bytes each) that are broadcast to the texts; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Occurrences that each n-gram is given on both sides, so that a few sightings of a rare one say little.
