@@ -588,3 +588,59 @@ def test_pages_with_unclosed_tags(spark):
     got = {r["i"]: r["lines"] for r in df.select("i", line_dedup.html_lines(F.col("html")).alias("lines")).collect()}
     assert time.time() - began < 20
     assert all(got[i] == old_lines(p) for i, p in enumerate(pages))
+
+
+# the label model by brute force
+
+
+def test_widest_tree():
+    draw = np.random.default_rng(3)
+    for _ in range(20):
+        shared = draw.random((5, 5))
+        shared = shared + shared.T
+        parent = toxicity.widest_tree(shared)
+        assert parent[0] == 0
+        got = sum(shared[i, parent[i]] for i in range(1, 5))
+        best = 0.0
+        for code in range(5**4):
+            up = [0, *(code // 5**k % 5 for k in range(4))]
+            seen = groups_of(5, [(i, up[i]) for i in range(1, 5) if up[i] != i])
+            if len(set(seen)) == 1:
+                best = max(best, sum(shared[i, up[i]] for i in range(1, 5)))
+        assert abs(got - best) < 1e-12
+
+
+def test_label_model_is_the_tree_of_its_pairs():
+    """Posterior of every vote pattern against Bayes' rule over the tree, with rates counted one by one."""
+    draw = np.random.default_rng(8)
+    y = (draw.random(4000) < 0.3).astype(int)
+    first = draw.random(4000) < np.where(y, 0.8, 0.1)
+    second = np.where(draw.random(4000) < 0.9, first, draw.random(4000) < 0.5)
+    third = draw.random(4000) < np.where(y, 0.6, 0.2)
+    fired = np.stack([first, second, third], axis=1).astype(float)
+    pairs = np.stack([toxicity.pair_sums(fired[y == k], np.ones((y == k).sum()))[:3] / (y == k).sum() for k in (0, 1)])
+    model = toxicity.LabelModel(pairs, 0.3)
+    assert model.parent[1] == 0
+    patterns = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], dtype=float)
+    for pattern, p in zip(patterns, model.posterior(patterns)):
+        like = []
+        for k in (0, 1):
+            rows, chance = fired[y == k], 1.0
+            for at, up in enumerate(model.parent):
+                among = rows if at == up else rows[rows[:, up] == pattern[up]]
+                chance *= (among[:, at] == pattern[at]).mean()
+            like.append(chance)
+        assert abs(p - 0.3 * like[1] / (0.3 * like[1] + 0.7 * like[0])) < 1e-3
+
+
+def test_terms_of_many_texts_and_of_none(spark):
+    """The statistic by a loop; near copies and repeated rows speak once; a giant word and empty texts are no trouble."""
+    draw = random.Random(4)
+    texts = [(i, " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(30)) + (" vileness" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    rows = [*texts, texts[0], (90, "x" * 300_000, 0), (91, "", 0), (92, None, 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(40)
+    got = toxicity.mine_terms(sample)
+    line = got[got["term"] == "vileness"].iloc[0]
+    n1, n0 = 30, 62
+    assert (line["n1"], line["n0"]) == (30, 0) and abs(line["g"] - 2 * 30 * np.log((n1 + n0) / n1)) < 1e-9
+    assert toxicity.mine_terms(sample.limit(0)).empty
