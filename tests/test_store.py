@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tickweave.operators.model import TALL_SCHEMA
 from tickweave.sources.provider import fetch, missing
 from tickweave.sources.store import Conflict, Store
 
@@ -146,3 +147,14 @@ def test_gap_fill_asks_for_missing_ranges_only(spark, store):
     assert rows.count() == 4
     fetch(store, "S", "v", datetime(2018, 1, 15), datetime(2018, 3, 15), provider)
     assert len(asked) == 1
+
+
+def test_delete_leaves_the_segments_other_series(spark, store):
+    """A segment stays in use for its other symbols and columns; what was deleted must not come back with them."""
+    rows = [(symbol, column, second(s), s, None, float(s), None, None, None) for symbol in "AB" for column in ("v", "w") for s in range(4)]
+    store.append(spark.createDataFrame(rows, TALL_SCHEMA))
+    store.delete("A", second(1), second(2), ["v"])
+    got = {(r["symbol"], r["column"], r["ts"]) for r in store.scan(["A", "B"]).collect()}
+    gone = {("A", "v", second(1)), ("A", "v", second(2))}
+    assert got == {(r[0], r[1], r[2]) for r in rows} - gone
+    assert {(r["symbol"], r["column"], r["ts"]) for r in store.scan("A").collect()} == {x for x in got if x[0] == "A"}

@@ -8,7 +8,7 @@ back. The largest task holds one bucket of one symbol.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,9 +17,12 @@ from tickweave.functions.time import bucket as bucket_of
 BUCKET = "__bucket"
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], unit: str = "day", prefix: str = "prev_") -> DataFrame:
-    """Adds ``prev_<value>``: the value on the preceding row of ``keys`` in ``order`` (its first column is a timestamp)."""
-    cut = df.withColumn(BUCKET, bucket_of(F.col(order[0]), unit))
+def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], unit: str = "day", prefix: str = "prev_", bucket: Column | None = None) -> DataFrame:
+    """Adds ``prev_<value>``: the value on the preceding row of ``keys`` in ``order``.
+
+    The first column of ``order`` is a timestamp, or ``bucket`` says how it is cut and does not fall where it rises.
+    """
+    cut = df.withColumn(BUCKET, bucket_of(F.col(order[0]), unit) if bucket is None else bucket)
     inside = W.partitionBy(*keys, BUCKET).orderBy(*order)
     own = F.struct(*[F.col(v).alias(v) for v in values])
     local = cut.withColumn("__before", F.lag(own).over(inside))

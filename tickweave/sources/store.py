@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.functions.time import instant
+from tickweave.functions.time import instant, whole_division
 from tickweave.functions.types import FIELD_TYPES, VALUE_COLUMNS, with_default
-from tickweave.operators import align, merge, model, segments
+from tickweave.operators import align, carry, merge, model, segments
 
 CATALOG = "symbol string, column string, type string, segment_id string, start timestamp_ntz, end timestamp_ntz, n_rows long, commit long"
 #: Rows in one data file.
 FILE_ROWS = 20_000_000
+#: Input positions of one key that are compared in one task.
+POSITIONS = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -64,7 +66,10 @@ class Store:
         except Exception as e:
             self._fs.delete(self._path(staged), True)
             raise Conflict(f"version {new} is another writer's") from e
-        self._fs.rename(self._path(staged), self._path(f"{self.path}/catalog/{new}"))
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/catalog/{new}")):
+            self._fs.delete(self._path(staged), True)
+            self._fs.delete(self._path(f"{self.path}/versions/.{new}"), False)
+            raise OSError(f"the catalog of version {new} cannot be put in place")
         self._fs.create(self._path(f"{self.path}/versions/{new}"), False).close()
 
     def recover(self) -> None:
@@ -81,7 +86,9 @@ class Store:
 
     def _write(self, tall: DataFrame, segment: str) -> DataFrame:
         rows = tall.withColumn("year", F.year("ts"))
-        dealt = rows.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "column", "ts", "seq")
+        # by range, so that a busy symbol's year is cut among tasks and stays sorted
+        order = ["symbol", "year", "column", "ts", "seq"]
+        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("symbol", "year").parquet(f"{self.path}/data/segment_id={segment}")
         return self._read([segment])
 
@@ -188,12 +195,14 @@ class Store:
         high = instant(end) if end is not None else low + F.expr("interval 1 day") if day else instant("9999-12-31 23:59:59.999999")
         first = instant("0001-01-01") if carry_in == "unbounded" else low
         used = segments.search(known, first, high)
-        commits = used.select("segment_id", "commit").distinct()
-        names = sorted(r["segment_id"] for r in commits.select("segment_id").collect())
+        # a segment may hold series that the catalog has since dropped from it, so rows meet their own entry
+        keys = ["segment_id", "symbol", "column"]
+        commits = used.select(*keys, "commit").distinct()
+        names = sorted(r["segment_id"] for r in commits.select("segment_id").distinct().collect())
         if not names:
             return self.spark.createDataFrame([], model.TALL_SCHEMA)
         rows = model.project(self._read(names), columns).where(F.col("symbol").isin(*symbols) & (F.col("ts") <= high))
-        rows = rows.join(commits, "segment_id")
+        rows = rows.join(commits, keys)
         if carry_in == "none":
             rows = rows.where((F.col("ts") >= low) & (F.col("year") >= F.year(low)))
         else:
@@ -220,10 +229,10 @@ def order_violations(rows: DataFrame, keys: list[str], position: str, ts: str) -
 
     Compared in ``position`` order; only direct neighbours are looked at, as a
     writer would that rejects the first step back.
+    Positions are whole numbers; a task holds POSITIONS of them for one key.
     """
-    from pyspark.sql import Window as W
-
-    before = F.lag(ts).over(W.partitionBy(*keys).orderBy(position))
-    return rows.withColumn("prev_ts", before).where(F.col("prev_ts") > F.col(ts))
+    cut = whole_division(F.col(position), POSITIONS)
+    before = carry.with_previous(rows, keys, [position], [ts], bucket=cut)
+    return before.withColumnRenamed(f"prev_{ts}", "prev_ts").where(F.col("prev_ts") > F.col(ts))
 
 
