@@ -47,6 +47,13 @@ def test_parse_time(spark):
     assert got == texts
 
 
+def test_parse_time_of_day(spark):
+    texts = {"03:04:05.678": datetime(2024, 5, 6, 3, 4, 5, 678000), "03:04:05": datetime(2024, 5, 6, 3, 4, 5), "23:59": datetime(2024, 5, 6, 23, 59), "24:61": datetime(1, 1, 1)}
+    parsed = time.parse_time(F.col("s"), F.lit("2024-05-06").cast("date"))
+    got = {r["s"]: r["t"] for r in spark.createDataFrame([(t,) for t in texts], "s string").select("s", parsed.alias("t")).collect()}
+    assert got == texts
+
+
 def test_next_power_of_two(spark):
     values = [-3, 0, 1, 2, 3, 4, 5, 1023, 1024, 1025, (1 << 40) + 1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(time.next_power_of_two(F.col("v"))).collect()]

@@ -20,6 +20,8 @@ TIMESTAMP_FORMATS = (
     "dd/MM/yyyy HH:mm",
     "dd/MM/yyyy",
 )
+#: Formats of a time without its day, fixed values.
+TIME_FORMATS = ("HH:mm:ss.SSS", "HH:mm:ss", "HH:mm")
 MIN_TIME, MAX_TIME = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
 
@@ -65,9 +67,14 @@ def from_ticks(ticks: Column) -> Column:
     return F.timestamp_add("MICROSECOND", us, instant("1970-01-01"))
 
 
-def parse_time(text: Column) -> Column:
-    """A timestamp from any of the known formats, 'min' or 'max'; empty and null text is 'min', unreadable text too."""
-    known = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIMESTAMP_FORMATS]
+def parse_time(text: Column, day: Column | None = None) -> Column:
+    """A timestamp from any of the known formats, 'min' or 'max'; empty and null text is 'min', unreadable text too.
+
+    A time alone is one of ``day``, today if none is given.
+    """
+    dated = F.concat_ws(" ", F.date_format(F.current_date() if day is None else day, "yyyy-MM-dd"), text)
+    formats = [*[(text, f) for f in TIMESTAMP_FORMATS], *[(dated, f"yyyy-MM-dd {f}") for f in TIME_FORMATS]]
+    known = [F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for t, f in formats]
     low, high = (F.lit(t).cast("timestamp_ntz") for t in (MIN_TIME, MAX_TIME))
     word = F.lower(F.coalesce(text, F.lit("")))
     return F.when(word == "max", high).when(word.isin("", "min"), low).otherwise(F.coalesce(*known, low))

@@ -63,6 +63,13 @@ def with_default(value: Column, kind: str) -> Column:
     return F.coalesce(value, F.lit(t.default).cast(t.spark))
 
 
+def typed_field(df: DataFrame, name: str, kind: str) -> Column:
+    """The column ``name`` as ``kind``; null where the column is unknown or of another type, as nothing is converted."""
+    t = field_type(kind)
+    known = name in df.columns and df.schema[name].dataType == t.spark
+    return (F.col(f"`{name}`") if known else F.lit(None).cast(t.spark)).alias(name)
+
+
 def entries_equal(a: Column, b: Column) -> Column:
     """Null-safe equality of entries, in which NaN equals NaN."""
     return a.eqNullSafe(b)

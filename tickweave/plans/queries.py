@@ -420,6 +420,31 @@ def time_min_max(spark, d):
     return table(spark, d, "events").select("event_id", F.least("ts", at("2024-01-15")).alias("earlier"), F.greatest("ts", at("2024-01-15")).alias("later"))
 
 
+@query("""SELECT event_id, TIMESTAMP '2024-01-01' + least(ts - TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-20' - ts) AS shorter,
+    TIMESTAMP '2024-01-01' + greatest(ts - TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-20' - ts) AS longer FROM events""")
+def span_min_max(spark, d):
+    spans = [F.col("ts") - at("2024-01-01"), at("2024-01-20") - F.col("ts")]
+    return table(spark, d, "events").select("event_id", (at("2024-01-01") + F.least(*spans)).alias("shorter"), (at("2024-01-01") + F.greatest(*spans)).alias("longer"))
+
+
+@query("SELECT TIMESTAMP '0001-01-01' AS least, TIMESTAMP '9999-12-31 23:59:59.999999' AS most")
+def time_sentinels(spark, d):
+    return spark.range(1).select(time.instant(time.MIN_TIME).alias("least"), time.instant(time.MAX_TIME).alias("most"))
+
+
+@query("""SELECT event_id, value, CAST(NULL AS FLOAT) AS user_id, CAST(NULL AS DOUBLE) AS absent FROM events""")
+def typed_access(spark, d):
+    rows = table(spark, d, "events")
+    fields = [types.typed_field(rows, name, kind) for name, kind in (("value", "double"), ("user_id", "float"), ("absent", "double"))]
+    return rows.select("event_id", *fields)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END - date_trunc('day', ts) + TIMESTAMP '2024-05-06' AS parsed FROM events""")
+def parse_times_of_day(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "HH:mm")).otherwise(F.date_format("ts", "HH:mm:00.000"))
+    return table(spark, d, "events").select("event_id", time.parse_time(text, F.lit("2024-05-06").cast("date")).alias("parsed"))
+
+
 @query("""SELECT event_id, concat_ws('/', CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'hot' WHEN ts >= TIMESTAMP '2024-01-10' THEN 'warm' ELSE 'cold' END,
     strftime(ts, '%Y'), CAST(user_id AS VARCHAR), event_type, concat_ws('_', CAST(user_id AS VARCHAR), event_type, strftime(ts, '%Y-%m-%d_%H-%M-%S'))) AS path FROM events""")
 def path_layout(spark, d):
