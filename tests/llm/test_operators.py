@@ -644,3 +644,16 @@ def test_terms_of_many_texts_and_of_none(spark):
     n1, n0 = 30, 62
     assert (line["n1"], line["n0"]) == (30, 0) and abs(line["g"] - 2 * 30 * np.log((n1 + n0) / n1)) < 1e-9
     assert toxicity.mine_terms(sample.limit(0)).empty
+
+
+def test_terms_of_every_alphabet_are_found_alike_by_tasks_and_jvm(spark):
+    """Marks, numerals and letters that change their number in lower case part or join no word on one side only."""
+    words = ["İzmirli", "m²abc", "ⅷⅷⅷ", "ΟΔΥΣΣΕΥΣ", "Straße", "naïve", "𝒜𝒷𝒸", "a1bcd", "x_yzw", "東京都庁", "e\u0301abc"]
+    texts = [f"common filler {word} text" for word in words]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", private_data.terms_of(F.col("text")).alias("terms")).collect()
+    for row in rows:
+        assert set(row["terms"]) == private_data.near_terms(row["text"])
+    docs = spark.createDataFrame([(0, "write to ann@example.org of İzmirli"), *[(n, "common filler text of it") for n in range(1, 40)], (40, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in private_data.private_spans(docs).collect()}
+    assert "remove:28:35" in got[0]["spans"].split(",")
+    assert [n for n, r in got.items() if r["private"]] == [0]

@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
-#: The same words as TERM in the JVM's pattern language.
-TERM_SQL = r"[\p{L}]{3,}"
+#: Three letters or more; tasks and the JVM read it alike, and both lower a term's case after they have found it.
+TERM_PATTERN = r"\p{L}{3,}"
+TERM = regex.compile(TERM_PATTERN)
 
 
 def luhn(digits: str) -> bool:
@@ -115,7 +116,7 @@ SCANNED = "doc_id long, version long, n_email long, n_ip long, n_card long, n_ph
 
 def terms_of(text: Column) -> Column:
     """Distinct terms of a text, lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_SQL), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
 
 
 def told_pairs(scanned: DataFrame, docs: DataFrame) -> DataFrame:
@@ -173,10 +174,11 @@ def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row of ``docs`` (``doc_id, text``).
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, private`` of every row of ``docs`` (``doc_id, text``).
 
     ``spans`` lists the base spans and, in documents that hold a protected
-    entity, the spans ``generalise`` and ``remove`` of terms that disclose it.
+    entity, the spans ``generalise`` and ``remove`` of terms that disclose it;
+    ``private`` says whether it holds one, of whatever kind.
     A null text counts as empty; repeated rows each give a row and count as
     documents; a null doc_id stays null. Positions are code points. Other
     columns are not read.
@@ -189,7 +191,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     texts = own.join(stage(hit, "hits"), row).dropDuplicates(row).select(*row, "text", "told")
     marked = stage(texts.mapInPandas(mark, "doc_id long, version long, marked string"), "marked")
     out = scanned.join(marked, row, "left")
-    return out.select(show_null(F.col("doc_id")).alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("marked", "base").alias("spans"))
+    return out.select(show_null(F.col("doc_id")).alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("marked", "base").alias("spans"), (F.col("base") != "").alias("private"))
 
 
 def sanitise(text: str, spans: str) -> str:
