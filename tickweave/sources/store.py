@@ -102,13 +102,23 @@ class Store:
         found = merge.bounds(rows.withColumn("type", kind), ["symbol", "column", "type"])
         return found.select("symbol", "column", "type", F.lit(segment).alias("segment_id"), "start", "end", "n_rows", F.lit(commit).cast("long").alias("commit"))
 
-    def append(self, tall: DataFrame) -> None:
-        """Commit tall rows of any symbols as one segment; a type other than a column's stored one is an error."""
+    def append(self, tall: DataFrame, segment: str | None = None) -> None:
+        """Commit tall rows of any symbols as one segment; a type other than a column's stored one is an error.
+
+        A ``segment`` that is named is committed once: while the catalog has
+        it, another append under its name does nothing.
+        """
         base = self.version()
-        segment = uuid.uuid4().hex
+        known = self.catalog(base)
+        if segment is None:
+            segment = uuid.uuid4().hex
+        elif not known.where(F.col("segment_id") == segment).isEmpty():
+            return
+        else:
+            # left by an attempt that did not publish
+            self._fs.delete(self._path(f"{self.path}/data/segment_id={segment}"), True)
         written = self._write(tall.select(*model.TALL), segment)
         new = self._entries(written, segment, base + 1)
-        known = self.catalog(base)
         stored = known.select("symbol", "column", F.col("type").alias("stored")).distinct()
         wrong = new.join(stored, ["symbol", "column"]).where("type <> stored").limit(5).collect()
         mixed = new.groupBy("symbol", "column").count().where("count > 1").limit(5).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,11 +12,16 @@ from tickweave.sources.store import Store
 
 
 def write_stream(tall: DataFrame, store: Store, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Commit every micro-batch of a streaming tall DataFrame; a late batch is merged on read like any overlapping one."""
+    """Commit every micro-batch of a streaming tall DataFrame; a late batch is merged on read like any overlapping one.
+
+    A batch's segment is named after the checkpoint and its number, so a batch
+    that is replayed after a failure is not committed again.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def commit(batch: DataFrame, _: int) -> None:
+    def commit(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.append(batch)
+            store.append(batch, f"stream-{run}-{number}")
 
     writer = tall.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
