@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.blocks import deal_blocks, link_rows, pairs_inside, whole_groups
-from tickweave.llm.common import stage, table
+from tickweave.llm.common import lean, stage, table
 from tickweave.llm.components import components
 
 THRESHOLD = 0.95
@@ -197,7 +197,7 @@ def embedding_dedup(embeddings: DataFrame) -> DataFrame:
     # a number for each vector, fixed by writing it, as ids may repeat with unlike vectors
     distinct = stage(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
-    placed = distinct.select("rep", "copies", "vector").mapInPandas(assign, "rep long, copies long, vector array<double>, dimension int, code binary, factor double, buckets array<long>")
+    placed = distinct.select("rep", "copies", "vector").mapInPandas(lean(assign), "rep long, copies long, vector array<double>, dimension int, code binary, factor double, buckets array<long>")
     placed = stage(placed.withColumn("vector", F.col("vector").cast(embeddings.schema["embedding"].dataType)), "buckets")
     group = ["dimension", "turn", "bucket"]
     spots = placed.select("rep", "dimension", F.posexplode("buckets").alias("turn", "bucket"))
@@ -205,7 +205,7 @@ def embedding_dedup(embeddings: DataFrame) -> DataFrame:
     dealt = stage(deal_blocks(spots, sizes, group, "rep", BLOCK), "blocks")
     work = dealt.join(placed.select("rep", "copies", "vector", "code", "factor", "buckets"), "rep")
     keys = [*group, "bi", "bj"]
-    found = stage(work.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(verify, "id long, links long, root long"), "verified")
+    found = stage(work.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lean(verify), "id long, links long, root long"), "verified")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")

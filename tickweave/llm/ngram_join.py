@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.blocks import deal_blocks, groups, link_rows
-from tickweave.llm.common import stage, table
+from tickweave.llm.common import lean, stage, table
 from tickweave.llm.components import components
 
 WORDS = 5
@@ -133,7 +133,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     texts stay apart; ``first`` is the least (doc_id, version) of the group.
     """
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    signed = stage(ids.mapInPandas(sign, "doc_id long, version long, key string, n_shingles long, bands array<long>"), "signatures")
+    signed = stage(ids.mapInPandas(lean(sign), "doc_id long, version long, key string, n_shingles long, bands array<long>"), "signatures")
     some = signed.where("n_shingles > 0")
     member = F.struct("doc_id", "version")
     classes = some.groupBy("key").agg(F.min(member).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -152,7 +152,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     texts = ids.join(shown, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
     work = dealt.join(texts, ["doc_id", "version"]).select("cid", "bi", "bj", "part", "rep", "copies", "text")
     work = work.repartition("cid", "bi", "bj").sortWithinPartitions("cid", "bi", "bj")
-    found = stage(work.mapInPandas(verify, "id long, links long, root long"), "verified")
+    found = stage(work.mapInPandas(lean(verify), "id long, links long, root long"), "verified")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")

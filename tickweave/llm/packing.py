@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import hide_null, show_null, stage, table
+from tickweave.llm.common import hide_null, lean, show_null, stage, table
 
 LENGTH = 4096
 END_ID = 2
@@ -176,7 +176,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 )
                 row += len(part)
 
-    return docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, "row long, doc_id long, key long, doc_tokens long, ids binary")
+    return docs.select(hide_null(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(lean(run), "row long, doc_id long, key long, doc_tokens long, ids binary")
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def positions(rows: DataFrame) -> DataFrame:
             total = int(ends.iloc[-1]) if len(ends) else total
 
     ranged = rows.select("row", "key", "doc_tokens", tie.alias("tie")).repartitionByRange("key", "tie", "row").sortWithinPartitions("key", "tie", "row")
-    local = stage(ranged.mapInPandas(running, "row long, part int, begin long, doc_tokens long"), "positions")
+    local = stage(ranged.mapInPandas(lean(running), "row long, part int, begin long, doc_tokens long"), "positions")
     sums = local.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = sums.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("start"))
@@ -228,7 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
                     at += take
             yield pd.DataFrame(out, columns=names)
 
-    pieces = placed.mapInPandas(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = placed.mapInPandas(lean(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumn("doc_id", show_null(F.col("doc_id")))
 
 

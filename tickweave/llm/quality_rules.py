@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.blocks import groups
-from tickweave.llm.common import hide_null, show_null, stage, table
+from tickweave.llm.common import hide_null, lean, show_null, stage, table
 from tickweave.llm.ngram_join import mix64
 
 #: N-grams that every task holds, and rows in which they are looked for.
@@ -129,7 +129,7 @@ def hot_keys(rows: DataFrame) -> np.ndarray:
             keys, n = np.unique(np.concatenate(found), return_counts=True)
             yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
 
-    sums = some.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    sums = some.mapInPandas(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = sums.where("n > 1").orderBy(F.desc("n"), "key").limit(HOT).select("key")
     return np.sort(top.toArrow().column("key").to_numpy().view(np.uint64))
 
@@ -201,7 +201,7 @@ def count_hot(rows: DataFrame) -> Counts:
             yield pd.DataFrame({"begin": [begin], "raw": [pack(raw)], "good": [pack(good)]})
 
     form = "begin long, raw binary, good binary"
-    sums = rows.mapInPandas(count, form).repartition("begin").mapInPandas(add, form).toPandas().sort_values("begin")
+    sums = rows.mapInPandas(lean(count), form).repartition("begin").mapInPandas(lean(add), form).toPandas().sort_values("begin")
     none = np.zeros(len(hot) + 1, dtype=np.int64)
     raw, good = (np.concatenate([unpack(x) for x in sums[c]]).astype(float) if len(sums) else none for c in ("raw", "good"))
     return Counts(hot, raw[:-1], good[:-1], float(raw[-1]), float(good[-1]))
@@ -314,9 +314,9 @@ def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "row long, score double")
     parts = max(PARTS, math.ceil((counts.total_raw - counts.raw.sum()) / PART))
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    dealt = rows.mapInPandas(deal(parts, shared), DEALT).repartition("part").sortWithinPartitions("part")
-    counted = dealt.mapInPandas(count_part, COUNTED).repartition("batch").sortWithinPartitions("batch")
-    return stage(counted.mapInPandas(add_up(shared), "row long, score double").groupBy("row").agg(F.min("score").alias("score")), "scores")
+    dealt = rows.mapInPandas(lean(deal(parts, shared)), DEALT).repartition("part").sortWithinPartitions("part")
+    counted = dealt.mapInPandas(lean(count_part), COUNTED).repartition("batch").sortWithinPartitions("batch")
+    return stage(counted.mapInPandas(lean(add_up(shared)), "row long, score double").groupBy("row").agg(F.min("score").alias("score")), "scores")
 
 
 def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +328,7 @@ def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def judged_rows(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """``doc_id, row``, the base counts, ``base_failed``, ``score`` and ``kept``; NO_ID for a null id."""
     own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), row_hash().alias("row"), "text")
-    based = own.mapInPandas(judge, f"doc_id long, row long, {BASE_COLUMNS}").join(text_scores(docs, labels), "row", "left")
+    based = own.mapInPandas(lean(judge), f"doc_id long, row long, {BASE_COLUMNS}").join(text_scores(docs, labels), "row", "left")
     judged = based.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("score", F.coalesce("score", F.lit(0.0)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
