@@ -1,11 +1,13 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
-Pattern spans (e-mail, IP address, card, phone) are the protected entities. A
-term of the same document can disclose an entity even where that is masked. Corpus counts estimate how much: with N documents, of which d hold the
-entity, the entity carries log2(N / d) bits, and a term in t documents that
-is in b of its documents carries log2(N b / (t d)) of those bits. Terms that
-carry more than GENERALISE of the entity's information are generalised in the
-documents that hold it, those beyond REMOVE are removed.
+Pattern spans (e-mail, IP address, card, phone, and secrets such as passwords
+and access tokens) are the protected entities. A term of the same document can
+disclose an entity even where that is masked. Corpus counts estimate how much:
+with N documents, of which d hold the entity, the entity carries log2(N / d)
+bits, and a term in t documents that is in b of its documents carries
+log2(N b / (t d)) of those bits. Terms that carry more than GENERALISE of the
+entity's information are generalised in the documents that hold it, those
+beyond REMOVE are removed.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import hide_null, show_null, stage, table
+from tickweave.llm.common import hide_null, lean, show_null, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term and an entity count as related from so many documents on; most entities stand in one only.
@@ -33,6 +36,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: What is assigned to a name that speaks of a secret, eight characters or more with a digit among them; or a token of a well-known form.
+ASSIGNED = re.compile(r"""(?i)(?:password|passwd|passphrase|secret|token|(?:api|access|private|auth)[_-]?key)["']?[\x20\t]*[:=][\x20\t]*["']?(?P<value>[^\s"'<>,;]{8,})""")
+TOKEN = re.compile(r"(?<![\w-])(?P<value>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
+SECRET = "secret"
 #: Three letters or more; tasks and the JVM read it alike, and both lower a term's case after they have found it.
 TERM_PATTERN = r"\p{L}{3,}"
 TERM = regex.compile(TERM_PATTERN)
@@ -77,8 +84,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(start, end, KINDS[kind]) for start, end, kind in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values of passwords, keys and access tokens, by start, without overlaps."""
+    found = [m.span("value") for m in ASSIGNED.finditer(text) if DIGIT.search(m["value"])] + [m.span("value") for m in TOKEN.finditer(text)]
+    end = 0
+    for start, stop in sorted(found, key=lambda x: (x[0], -x[1])):
+        if start >= end:
+            yield start, stop
+            end = stop
+
+
+def protected_spans(text: str) -> list[tuple[int, int, str]]:
+    """The base spans and those of secrets, by start, then kind."""
+    order = {kind: i for i, kind in enumerate((*KINDS, SECRET))}
+    return sorted([*base_spans(text), *((start, end, SECRET) for start, end in secrets(text))], key=lambda x: (x[0], order[x[2]]))
+
+
 def entity(kind: str, value: str) -> str:
     """One name for all spellings of an entity."""
+    if kind == SECRET:
+        return f"{kind}:{value}"
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if '0' <= c <= '9')}"
 
 
@@ -100,18 +125,17 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc_id, version, text in zip(batch["doc_id"], batch["version"], batch["text"]):
             text = text or ""
-            spans = base_spans(text)
+            spans = protected_spans(text)
             kinds = [kind for _, _, kind in spans]
             entities = sorted({entity(kind, text[start:end]) for start, end, kind in spans})
             terms = sorted(near_terms(text, *[x for start, end, _ in spans for x in (start, end)])) if spans else []
-            base = joined(spans)
-            counts = [kinds.count(kind) for kind in KINDS]
-            out.append((doc_id, version, *counts, hashlib.sha256(base.encode()).hexdigest(), base, entities, terms))
-        frame = pd.DataFrame(out, columns=["doc_id", "version", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "entities", "terms"])
-        yield frame
+            base = joined([span for span in spans if span[2] != SECRET])
+            counts = [kinds.count(kind) for kind in (*KINDS, SECRET)]
+            out.append((doc_id, version, *counts, hashlib.sha256(base.encode()).hexdigest(), joined(spans), entities, terms))
+        yield pd.DataFrame(out, columns=["doc_id", "version", *[f"n_{k}" for k in (*KINDS, SECRET)], "base_sha256", "protected", "entities", "terms"])
 
 
-SCANNED = "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, terms array<string>"
+SCANNED = "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, protected string, entities array<string>, terms array<string>"
 
 
 def terms_of(text: Column) -> Column:
@@ -153,55 +177,64 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the spans of a document's disclosing terms to its base spans; a term span inside a base span is left out."""
+    """Adds the spans of a document's disclosing terms to its protected spans; a term that meets a protected span is left out."""
+    order = {k: i for i, k in enumerate((*KINDS, SECRET, "generalise", "remove"))}
     for batch in batches:
         out = []
         for doc_id, version, text, told in zip(batch["doc_id"], batch["version"], batch["text"], batch["told"]):
             text = text or ""
             acts = {x["term"]: "remove" if x["share"] >= REMOVE else "generalise" for x in sorted(told, key=lambda x: x["share"])}
-            spans = base_spans(text)
-            ends = [e for _, e, _ in sorted(spans)]
+            spans = protected_spans(text)
             starts = [s for s, _, _ in spans]
+            # the furthest end of the spans up to each
+            ends = list(accumulate((e for _, e, _ in spans), max))
             for m in TERM.finditer(text):
                 act = acts.get(m[0].lower())
                 if act:
                     at = bisect_left(starts, m.end())
-                    if not any(e > m.start() for e in ends[max(0, at - len(KINDS)) : at]):
+                    if not at or ends[at - 1] <= m.start():
                         spans.append((m.start(), m.end(), act))
-            order = {k: i for i, k in enumerate((*KINDS, "generalise", "remove"))}
             out.append((doc_id, version, joined(sorted(spans, key=lambda x: (x[0], order[x[2]])))))
         yield pd.DataFrame(out, columns=["doc_id", "version", "marked"])
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, private`` of every row of ``docs`` (``doc_id, text``).
+    """``doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans, private`` of every row of ``docs`` (``doc_id, text``).
 
-    ``spans`` lists the base spans and, in documents that hold a protected
-    entity, the spans ``generalise`` and ``remove`` of terms that disclose it;
-    ``private`` says whether it holds one, of whatever kind.
+    ``spans`` lists the base spans, those of secrets and, in documents that
+    hold a protected entity, the spans ``generalise`` and ``remove`` of terms
+    that disclose it; ``private`` says whether it holds one, of whatever kind.
     A null text counts as empty; repeated rows each give a row and count as
     documents; a null doc_id stays null. Positions are code points. Other
     columns are not read.
     """
     own = docs.select(hide_null(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     row = ["doc_id", "version"]
-    scanned = stage(own.mapInPandas(scan, SCANNED), "private-spans")
+    scanned = stage(own.mapInPandas(lean(scan), SCANNED), "private-spans")
     most = told_pairs(scanned, own).groupBy(*row, "term").agg(F.max("share").alias("share"))
     hit = most.groupBy(*row).agg(F.collect_list(F.struct("term", "share")).alias("told"))
     texts = own.join(stage(hit, "hits"), row).dropDuplicates(row).select(*row, "text", "told")
-    marked = stage(texts.mapInPandas(mark, "doc_id long, version long, marked string"), "marked")
+    marked = stage(texts.mapInPandas(lean(mark), "doc_id long, version long, marked string"), "marked")
     out = scanned.join(marked, row, "left")
-    return out.select(show_null(F.col("doc_id")).alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.coalesce("marked", "base").alias("spans"), (F.col("base") != "").alias("private"))
+    return out.select(
+        show_null(F.col("doc_id")).alias("doc_id"),
+        "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base_sha256",
+        F.coalesce("marked", "protected").alias("spans"),
+        (F.col("protected") != "").alias("private"),
+    )
 
 
 def sanitise(text: str, spans: str) -> str:
-    """A text with its spans replaced: entities and generalised terms by their kind in brackets, removed terms by nothing."""
+    """A text with its spans replaced: entities and generalised terms by their kind in brackets, removed terms by nothing.
+
+    Of spans that overlap the first names the place, and all of them go.
+    """
     out, at = [], 0
     for span in filter(None, spans.split(",")):
         kind, start, end = span.split(":")
         if int(start) >= at:
             out += [text[at : int(start)], "" if kind == "remove" else "[term]" if kind == "generalise" else f"[{kind}]"]
-            at = int(end)
+        at = max(at, int(end))
     return "".join([*out, text[at:]])
 
 
