@@ -690,3 +690,38 @@ def test_secrets_leave_the_base_digest_alone(spark):
         assert r["n_secret"] == r["spans"].count("secret:") and r["private"] == bool(base or r["n_secret"])
     assert "ann7" not in private_data.sanitise(texts[0], rows[0]["spans"]) and "4539" not in private_data.sanitise(texts[1], rows[1]["spans"])
     assert rows[0]["n_secret"] == rows[1]["n_secret"] == 1 and not rows[3]["private"]
+
+
+def test_signatures_of_links_agree_often_enough():
+    """Pairs at the threshold are candidates, pairs at a half are none, for small sets and large."""
+    draw = np.random.default_rng(12)
+    for size in (5, 50, 2000):
+        near = far = 0
+        for _ in range(150):
+            values = np.unique(draw.integers(0, 1 << 64, size * 3, dtype=np.uint64))
+            whole = np.sort(draw.permutation(values)[:size])
+            part = np.sort(draw.permutation(whole)[: size * 4 // 5])
+            half = np.sort(draw.permutation(whole)[: size // 2])
+            one, two, three = (ngram_join.minima(x).astype(np.uint8) for x in (whole, part, half))
+            near += (one == two).sum() >= ngram_join.LEAST_EQUAL
+            far += (one == three).sum() >= ngram_join.LEAST_EQUAL
+        assert near == 150 and far <= 1, (size, near, far)
+
+
+def test_ngram_join_compares_inside_open_buckets(spark, monkeypatch):
+    """A group whose bucket holds unlike texts as well, cut into blocks: every text that is like another finds it."""
+    monkeypatch.setattr(ngram_join, "MEETING", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    draw = random.Random(14)
+    frame = words(draw, 120, 5000).split()
+    texts = []
+    for group in range(12):
+        own = words(draw, 80, 5000).split()
+        for copy in range(3):
+            texts.append(" ".join([*frame, *own, f"end{group}x{copy}"]))
+    docs = make_docs(spark, texts)
+    rows = {r["doc_id"]: r for r in ngram_join.ngram_join(docs).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    for i, own in enumerate(sets):
+        assert rows[i]["n_links"] == sum(5 * len(own & other) >= 4 * len(own | other) for j, other in enumerate(sets) if j != i), i
+        assert rows[i]["component_id"] == i // 3 * 3

@@ -2,10 +2,13 @@
 
 Texts become sets of five-word shingles. Equal sets form a class, joined once.
 ``ROWS`` and ``BANDS`` give a pair at the threshold a chance of TARGET_RECALL
-to share a band. Documents meet on band hashes; what the bands connect is a
-candidate group, and inside it all pairs are verified on their full sets, block
-by block. A pair of different classes above the threshold that shares no band
-but is connected through others is found as well.
+to share a band. Documents meet on band hashes. Where they meet, the share of
+equal MinHash values tells pairs that may reach the threshold from those that
+do not come near it; a document is first held against the least of its bucket,
+and only buckets with documents unlike the least are compared further, block by
+block. What such pairs connect is a candidate group, and inside it all pairs
+are verified on their full sets. Texts that are half alike, as templates are,
+share bands but are no candidates.
 """
 
 from __future__ import annotations
@@ -73,14 +76,29 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def band_hashes(sets: np.ndarray) -> np.ndarray:
-    """Hash of every band of a non-empty set's MinHash signature."""
+#: Equal values of two signatures from which a pair is a candidate: six deviations below what the threshold lets expect.
+LEAST_EQUAL = math.floor(ROWS * BANDS * NUMERATOR / DENOMINATOR - 6 * math.sqrt(ROWS * BANDS * NUMERATOR * (DENOMINATOR - NUMERATOR)) / DENOMINATOR)
+#: Documents in one part of a bucket that is compared.
+MEETING = 512
+
+
+def minima(sets: np.ndarray) -> np.ndarray:
+    """MinHash signature of a non-empty set."""
     short = (sets >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(MULTIPLY), np.iinfo(np.uint32).max, dtype=np.uint32)
     for begin in range(0, len(short), 2048):
         part = (short[None, begin : begin + 2048] ^ FLIP[:, None]) * MULTIPLY[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+    return least
+
+
+def band_hashes(sets: np.ndarray) -> np.ndarray:
+    """Hash of every band of a non-empty set's signature."""
+    return bands_of(minima(sets))
+
+
+def bands_of(signature: np.ndarray) -> np.ndarray:
+    rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
     return mix64((rows * ROW_FACTORS).sum(axis=1, dtype=np.uint64) + BAND_TERMS).view(np.int64)
 
 
@@ -90,8 +108,55 @@ def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, version, text in zip(batch["doc_id"], batch["version"], batch["text"]):
             own = shingles(text)
             key = hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest()
-            out.append((doc_id, version, key, len(own), band_hashes(own) if len(own) else None))
-        yield pd.DataFrame(out, columns=["doc_id", "version", "key", "n_shingles", "bands"])
+            signature = minima(own) if len(own) else None
+            bands, low = (None, None) if signature is None else (bands_of(signature), signature.astype(np.uint8).tobytes())
+            out.append((doc_id, version, key, len(own), bands, low))
+        yield pd.DataFrame(out, columns=["doc_id", "version", "key", "n_shingles", "bands", "low"])
+
+
+def low_bytes(values: pd.Series) -> np.ndarray:
+    """The low bytes of signatures, one a row; unlike values agree in one of 256, so no equal one is missed."""
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, len(MULTIPLY))
+
+
+def near_least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whether each document is a candidate pair with the least of its bucket."""
+    for batch in batches:
+        equal = (low_bytes(batch["low"]) == low_bytes(batch["least_low"])).sum(axis=1)
+        yield batch[["rep", "least"]].assign(near=equal >= LEAST_EQUAL)
+
+
+def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that join what candidate pairs connect in each block; pairs that are both near their bucket's least are joined by it."""
+    for block in groups(batches, ["band", "bi", "bj"]):
+        low, loose, part = low_bytes(block["low"]), block["loose"].to_numpy(), block["part"].to_numpy()
+        linked = np.zeros((len(block), len(block)), dtype=bool)
+        for i in range(len(block) - 1):
+            linked[i, i + 1 :] = (low[i + 1 :] == low[i]).sum(axis=1) >= LEAST_EQUAL
+        linked = (linked | linked.T) & (loose[:, None] | loose[None, :])
+        if block["bi"].iat[0] != block["bj"].iat[0]:
+            linked &= part[:, None] != part[None, :]
+        links = link_rows(linked, block["rep"].to_numpy(), np.ones(len(block), dtype=np.int64))
+        yield links[["id", "root"]].rename(columns={"id": "a", "root": "b"})
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """``a, b``: links that connect all classes which share a band and agree in LEAST_EQUAL values, directly or through others."""
+    banded = classes.select("rep", F.explode("bands").alias("band"))
+    meeting = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = stage(banded.join(meeting, "band"), "met")
+    low = classes.select("rep", "low")
+    pairs = met.where("rep <> least").select("rep", "least").distinct()
+    pairs = pairs.join(low, "rep").join(low.select(F.col("rep").alias("least"), F.col("low").alias("least_low")), "least")
+    near = stage(pairs.select("rep", "least", "low", "least_low").mapInPandas(lean(near_least), "rep long, least long, near boolean"), "near-least")
+
+    placed = met.join(near, ["rep", "least"], "left").select("band", "rep", (~F.coalesce("near", F.lit(True))).alias("loose"))
+    sizes = stage(placed.groupBy("band").agg(F.count("*").alias("n"), F.max("loose").alias("loose")).where("loose AND n > 2").drop("loose"), "open-sizes")
+    dealt = stage(deal_blocks(placed, sizes, ["band"], "rep", MEETING), "meetings")
+    keys = ["band", "bi", "bj"]
+    work = dealt.join(low, "rep").select(*keys, "part", "rep", "loose", "low").repartition(*keys).sortWithinPartitions(*keys)
+    others = work.mapInPandas(lean(meet), "a long, b long").where("a <> b")
+    return near.where("near").select(F.col("rep").alias("a"), F.col("least").alias("b")).unionByName(others)
 
 
 def jaccard_links(left: list[np.ndarray], cross: np.ndarray) -> np.ndarray:
@@ -133,17 +198,14 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     texts stay apart; ``first`` is the least (doc_id, version) of the group.
     """
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    signed = stage(ids.mapInPandas(lean(sign), "doc_id long, version long, key string, n_shingles long, bands array<long>"), "signatures")
+    signed = stage(ids.mapInPandas(lean(sign), "doc_id long, version long, key string, n_shingles long, bands array<long>, low binary"), "signatures")
     some = signed.where("n_shingles > 0")
     member = F.struct("doc_id", "version")
-    classes = some.groupBy("key").agg(F.min(member).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = some.groupBy("key").agg(F.min(member).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     # a number for each class, fixed by writing it
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    meeting = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = banded.join(meeting, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    grouped = stage(components(candidates).select(F.col("id").alias("rep"), F.col("component_id").alias("cid")), "candidates")
+    grouped = stage(components(candidate_links(classes)).select(F.col("id").alias("rep"), F.col("component_id").alias("cid")), "candidates")
 
     members = grouped.join(classes.select("rep", "copies", "least.*"), "rep")
     sizes = grouped.groupBy("cid").agg(F.count("*").alias("n"))
@@ -156,11 +218,11 @@ def linked_rows(docs: DataFrame) -> DataFrame:
 
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    per_class = stage(classes.drop("bands").join(links, "rep", "left").join(roots, "rep", "left"), "class-links")
+    per_class = stage(classes.drop("bands", "low").join(links, "rep", "left").join(roots, "rep", "left"), "class-links")
     firsts = per_class.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("least").alias("first"))
     per_class = per_class.join(firsts, "component_id", "left").select("key", "copies", "links", "least", F.coalesce("first", "least").alias("first"))
 
-    own = signed.drop("bands").join(per_class, "key", "left")
+    own = signed.drop("bands", "low").join(per_class, "key", "left")
     return own.select(
         "doc_id", "version",
         F.coalesce("least.doc_id", "doc_id").alias("class_id"),
