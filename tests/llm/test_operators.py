@@ -725,3 +725,20 @@ def test_ngram_join_compares_inside_open_buckets(spark, monkeypatch):
     for i, own in enumerate(sets):
         assert rows[i]["n_links"] == sum(5 * len(own & other) >= 4 * len(own | other) for j, other in enumerate(sets) if j != i), i
         assert rows[i]["component_id"] == i // 3 * 3
+
+
+@pytest.mark.parametrize("groups", [3, 500])
+def test_an_open_bucket_joins_what_is_alike_in_it(spark, groups):
+    """One band for all, its least unlike the rest; groups of three that agree in nine values of ten; 500 groups are cut into parts."""
+    draw = np.random.default_rng(15)
+    length = len(ngram_join.MULTIPLY)
+    rows = [(0, [1], bytearray(draw.bytes(length)))]
+    for group in range(groups):
+        own = np.frombuffer(draw.bytes(length), dtype=np.uint8)
+        for copy in range(3):
+            low = own.copy()
+            low[draw.permutation(length)[: length // 20]] ^= 255
+            rows.append((1 + 3 * group + copy, [1], bytearray(low.tobytes())))
+    classes = spark.createDataFrame(rows, "rep long, bands array<long>, low binary")
+    joined = {r["id"]: r["component_id"] for r in components(ngram_join.candidate_links(classes)).collect()}
+    assert joined == {1 + 3 * g + c: 1 + 3 * g for g in range(groups) for c in range(3)}
