@@ -37,8 +37,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: What is assigned to a name that speaks of a secret, eight characters or more with a digit among them; or a token of a well-known form.
-ASSIGNED = re.compile(r"""(?i)(?:password|passwd|passphrase|secret|token|(?:api|access|private|auth)[_-]?key)["']?[\x20\t]*[:=][\x20\t]*["']?(?P<value>[^\s"'<>,;]{8,})""")
+ASSIGNED = re.compile(r"""(?ai)(?:password|passwd|passphrase|secret|token|(?:api|access|private|auth)[_-]?key)["']?[\x20\t]*[:=][\x20\t]*["']?(?P<value>[^\s"'<>,;]{8,})""")
 TOKEN = re.compile(r"(?<![\w-])(?P<value>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
+#: One of these is in every text that the two can match; most texts hold none.
+ASSIGNED_HINTS, TOKEN_HINTS = ("pass", "secret", "token", "key"), ("AKIA", "_", "xox", "eyJ")
 SECRET = "secret"
 #: Three letters or more; tasks and the JVM read it alike, and both lower a term's case after they have found it.
 TERM_PATTERN = r"\p{L}{3,}"
@@ -86,7 +88,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def secrets(text: str) -> Iterator[tuple[int, int]]:
     """Values of passwords, keys and access tokens, by start, without overlaps."""
-    found = [m.span("value") for m in ASSIGNED.finditer(text) if DIGIT.search(m["value"])] + [m.span("value") for m in TOKEN.finditer(text)]
+    lower, found = text.lower(), []
+    if any(hint in lower for hint in ASSIGNED_HINTS):
+        found += [m.span("value") for m in ASSIGNED.finditer(text) if DIGIT.search(m["value"])]
+    if any(hint in text for hint in TOKEN_HINTS):
+        found += [m.span("value") for m in TOKEN.finditer(text)]
     end = 0
     for start, stop in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= end:
